@@ -50,6 +50,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def doc_parts(spark: SparkSession) -> int:
+    """Partitions that documents are dealt to: fewer than those of hashes, for fewer and larger output files."""
+    return max(1, -(-shuffle_parts(spark) // 4))
+
+
 def id_key(col: str | Column = "doc_id") -> Column:
     """A long that stands for a nullable id; null sorts before every id."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID)).cast("long")
@@ -83,8 +88,11 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 def gather(blobs: list[bytes], names: list[str]) -> dict[str, np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
+    """The arrays of many blobs, joined; blobs are used up."""
+    parts = []
+    while blobs:
+        parts.append(unpack(blobs.pop()))
+    return {k: np.concatenate([p.pop(k) for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
 
 
 def blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -240,7 +248,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def dealt_texts(key_docs: DataFrame, parts: int, kind: int = 1, size: int = 8 * CHUNK) -> DataFrame:
+def dealt_texts(key_docs: DataFrame, parts: int, kind: int = 1, size: int = 4 * CHUNK) -> DataFrame:
     """Texts packed under zstd, one row per (chunk, partition of the id)."""
 
     def run(batches):

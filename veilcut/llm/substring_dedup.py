@@ -34,6 +34,7 @@ from .common import (
     blob_batch,
     blob_rows,
     deal,
+    doc_parts,
     dealt_texts,
     doc_chunks,
     gather,
@@ -45,6 +46,7 @@ from .common import (
     runs,
     shuffle_parts,
     texts_of,
+    unpack,
     words_of,
 )
 
@@ -74,7 +76,7 @@ def _merge_starts(doc, th, start, width):
     return {"doc": doc[lo], "th": th[lo], "lo": start[lo].astype(np.uint32), "n": (start[last] - start[lo] + width).astype(np.uint32)}
 
 
-def _count_chunk(ids, th, data, offsets, width: int, parts: int):
+def _count_chunk(ids, th, data, offsets, width: int, parts: int, homes: int):
     _, _, hashes, first = words_of(data, offsets)
     rank_order = np.lexsort((th, ids))
     rank = np.empty(len(ids), np.int64)
@@ -95,22 +97,22 @@ def _count_chunk(ids, th, data, offsets, width: int, parts: int):
     earliest[np.minimum.reduceat(by, edge)] = True
     again = ~earliest
     ranges = _merge_starts(ids[doc[again]], th[doc[again]], start[again], width)
-    yield from deal(part_of_id(ranges["doc"], parts), parts, 0, **ranges)
+    yield from deal(part_of_id(ranges["doc"], homes), homes, 0, **ranges)
     start, doc, h = start[earliest], doc[earliest], h[earliest]
     yield from deal(part_of_hash(h, parts), parts, 1, h=h, doc=ids[doc], th=th[doc], start=start.astype(np.uint32))
 
 
-def _earlier_windows(blobs: list[bytes], width: int, parts: int):
+def _earlier_windows(blobs: list[bytes], width: int, homes: int):
     x = gather(blobs, ["h", "doc", "th", "start"])
-    h = x["h"]
-    if not len(h):
+    if not len(x["h"]):
         return
-    by = np.argsort(h)
-    hs = h[by]
+    by = np.argsort(x["h"])
+    hs = x.pop("h")[by]
     equal = hs[1:] == hs[:-1]
     group = np.concatenate([[0], np.cumsum(~equal)])
     many = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
     by, group = by[many], group[many]
+    del hs, equal, many
     doc, th, start = x["doc"][by], x["th"][by], x["start"][by]
     order = np.lexsort((start, th, doc, group))
     doc, th, start, group = doc[order], th[order], start[order], group[order]
@@ -120,16 +122,16 @@ def _earlier_windows(blobs: list[bytes], width: int, parts: int):
     doc, th, start = doc[removed], th[removed], start[removed].astype(np.int64)
     order = np.lexsort((start, th, doc))
     ranges = _merge_starts(doc[order], th[order], start[order], width)
-    yield from deal(part_of_id(ranges["doc"], parts), parts, 0, **ranges)
+    yield from deal(part_of_id(ranges["doc"], homes), homes, 0, **ranges)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Blobs of word ranges covered by windows that start earlier too, dealt by document."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts, homes = shuffle_parts(docs.sparkSession), doc_parts(docs.sparkSession)
 
     def count(batches):
-        for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 8 * CHUNK):
-            if rows := list(_count_chunk(ids, th, data, offsets, width, parts)):
+        for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 4 * CHUNK):
+            if rows := list(_count_chunk(ids, th, data, offsets, width, parts, homes)):
                 yield blob_batch(rows)
 
     def judge(batches):
@@ -138,26 +140,19 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if kind:
                 blobs.append(blob)
             else:
-                doc = unpack_first(blob)
-                yield blob_batch([(int(part_of_id(doc, parts)[0]), 0, blob)])
-        if rows := list(_earlier_windows(blobs, width, parts)):
+                yield blob_batch([(int(part_of_id(unpack(blob)["doc"][:1], homes)[0]), 0, blob)])
+        if rows := list(_earlier_windows(blobs, width, homes)):
             yield blob_batch(rows)
 
     dealt = docs.mapInArrow(count, BLOB_SCHEMA).repartitionById(parts, "part")
     return dealt.mapInArrow(judge, BLOB_SCHEMA)
 
 
-def unpack_first(blob: bytes) -> np.ndarray:
-    from .common import unpack
-
-    return unpack(blob)["doc"][:1]
-
-
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text (kept words joined by one space), n_words, n_removed, n_spans."""
     key_docs = keyed(docs, id_col, text_col)
-    parts = shuffle_parts(docs.sparkSession)
-    both = repeated_windows(key_docs, width).unionByName(dealt_texts(key_docs, parts))
+    homes = doc_parts(docs.sparkSession)
+    both = repeated_windows(key_docs, width).unionByName(dealt_texts(key_docs, homes))
     schema = "doc_id long, text string, n_words long, n_removed long, n_spans long"
 
     def rewrite(batches):
@@ -185,7 +180,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
                 ["doc_id", "text", "n_words", "n_removed", "n_spans"],
             )
 
-    return both.repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(rewrite, schema)
+    return both.repartitionById(homes, "part").sortWithinPartitions("kind").mapInArrow(rewrite, schema)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

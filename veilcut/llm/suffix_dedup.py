@@ -41,6 +41,7 @@ from .common import (
     blob_batch,
     blob_rows,
     deal,
+    doc_parts,
     dealt_texts,
     doc_chunks,
     gather,
@@ -142,13 +143,13 @@ def _first_rows(ids, th):
     return ~same
 
 
-def _done(doc, th, lo, n, length: int, parts: int):
+def _done(doc, th, lo, n, length: int, homes: int):
     """Ranges of bytes that n windows from lo cover, dealt by document."""
     ranges = {"doc": doc, "th": th, "lo": lo.astype(np.uint32), "n": (n.astype(np.int64) + length - 1).astype(np.uint32)}
-    return deal(part_of_id(doc, parts), parts, DONE, **ranges)
+    return deal(part_of_id(doc, homes), homes, DONE, **ranges)
 
 
-def _send(x: dict[str, np.ndarray], length: int, parts: int):
+def _send(x: dict[str, np.ndarray], length: int, parts: int, homes: int):
     """Entries of a chunk to the partition of their bucket, one per (bucket, context); copies in the chunk are done."""
     both = join_ids(x["hb"], x["hc"])
     by = np.argsort(both)
@@ -159,12 +160,12 @@ def _send(x: dict[str, np.ndarray], length: int, parts: int):
     many = np.zeros(len(s), bool)
     many[by] = ~edge | np.append(~edge[1:], False)
     if many.any():
-        yield from _done(*(x[k][many] for k in ("doc", "th", "lo", "n")), length, parts)
+        yield from _done(*(x[k][many] for k in ("doc", "th", "lo", "n")), length, homes)
     x = {k: v[one] for k, v in x.items()}
     yield from deal(part_of_hash(x["hb"], parts), parts, ENTRY, **x)
 
 
-def _refine(blobs: list[bytes], length: int, parts: int):
+def _refine(blobs: list[bytes], length: int, homes: int):
     """Sort the entries of a partition by (bucket, context) and decide them."""
     x = gather(blobs, ["hb", "hc", "doc", "th", "lo", "n", "ao"])
     if not len(x["hb"]):
@@ -178,23 +179,25 @@ def _refine(blobs: list[bytes], length: int, parts: int):
     copies = np.diff(np.append(lead, len(context)))
     full = np.repeat(copies > 1, copies)
     if full.any():
-        yield from _done(*(x[k][full] for k in ("doc", "th", "lo", "n")), length, parts)
+        yield from _done(*(x[k][full] for k in ("doc", "th", "lo", "n")), length, homes)
     kinds = np.add.reduceat(context.astype(np.int64), np.flatnonzero(bucket))
     still = (kinds > 1)[np.cumsum(bucket)[lead] - 1]
     if still.any():
         y = {k: x[k][lead[still]] for k in ("doc", "th", "lo", "n", "ao")}
-        yield from deal(part_of_id(y["doc"], parts), parts, OPEN, **y)
+        yield from deal(part_of_id(y["doc"], homes), homes, OPEN, **y)
 
 
 def _decided(entries: DataFrame, length: int, parts: int) -> DataFrame:
+    homes = doc_parts(entries.sparkSession)
+
     def run(batches):
         blobs = []
         for kind, blob in blob_rows(batches):
             if kind == ENTRY:
                 blobs.append(blob)
             else:
-                yield blob_batch([(int(part_of_id(unpack(blob)["doc"][:1], parts)[0]), kind, blob)])
-        if rows := list(_refine(blobs, length, parts)):
+                yield blob_batch([(int(part_of_id(unpack(blob)["doc"][:1], homes)[0]), kind, blob)])
+        if rows := list(_refine(blobs, length, homes)):
             yield blob_batch(rows)
 
     return entries.repartitionById(parts, "part").mapInArrow(run, BLOB_SCHEMA)
@@ -205,8 +208,10 @@ def _entry(hb, hc, doc, th, lo, n, ao) -> dict[str, np.ndarray]:
 
 
 def _initial(key_docs: DataFrame, length: int, parts: int) -> DataFrame:
+    homes = doc_parts(key_docs.sparkSession)
+
     def run(batches):
-        for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 8 * CHUNK):
+        for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 4 * CHUNK):
             first, found = _first_rows(ids, th), []
             for at, base, part, inner in _units(data, offsets, length):
                 if (got := segments(part, inner, length)) is not None:
@@ -217,7 +222,7 @@ def _initial(key_docs: DataFrame, length: int, parts: int) -> DataFrame:
             if found:
                 x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
                 if len(x["hb"]):
-                    yield blob_batch(list(_send(x, length, parts)))
+                    yield blob_batch(list(_send(x, length, parts, homes)))
 
     return key_docs.mapInArrow(run, BLOB_SCHEMA)
 
@@ -251,6 +256,7 @@ def _windows(item: dict[str, np.ndarray], big: np.ndarray, at: np.ndarray, lengt
 
 def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts: int) -> DataFrame:
     """Undecided entries, split by `split` with the identifiers of their documents at hand."""
+    homes = doc_parts(key_docs.sparkSession)
 
     def run(batches):
         blobs, item = [], None
@@ -260,7 +266,7 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
                 continue
             if item is None:
                 item = gather(blobs, ["doc", "th", "lo", "n", "ao"])
-                order = np.lexsort((item["lo"], item["th"], item["doc"])) if blobs else np.zeros(0, np.int64)
+                order = np.lexsort((item["lo"], item["th"], item["doc"])) if len(item["doc"]) else np.zeros(0, np.int64)
                 item = {k: v[order] for k, v in item.items()}
             if not len(item["doc"]):
                 continue
@@ -275,10 +281,10 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
                 found += _split_document(own, data[offsets[i] : offsets[i + 1]], split, length)
             if found:
                 x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-                yield blob_batch(list(_send(x, length, parts)))
+                yield blob_batch(list(_send(x, length, parts, homes)))
 
-    both = open_items.where(F.col("kind") == OPEN).unionByName(dealt_texts(key_docs, parts, TEXT))
-    return both.repartitionById(parts, "part").sortWithinPartitions(F.col("kind") == TEXT).mapInArrow(run, BLOB_SCHEMA)
+    both = open_items.where(F.col("kind") == OPEN).unionByName(dealt_texts(key_docs, homes, TEXT))
+    return both.repartitionById(homes, "part").sortWithinPartitions(F.col("kind") == TEXT).mapInArrow(run, BLOB_SCHEMA)
 
 
 def _split_document(own: dict[str, np.ndarray], data: np.ndarray, split, length: int, size: int = CHUNK):
@@ -312,8 +318,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     if not Q + BLOCK + 127 <= length <= 512:
         raise ValueError("length must be from 271 to 512")
     key_docs = keyed(docs, id_col, text_col)
-    parts = shuffle_parts(docs.sparkSession)
-    both = dealt_texts(key_docs, parts, TEXT)
+    homes = doc_parts(docs.sparkSession)
+    both = dealt_texts(key_docs, homes, TEXT)
     for x in repeated_ranges(key_docs, length):
         both = both.unionByName(x)
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
@@ -339,7 +345,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return both.repartitionById(parts, "part").sortWithinPartitions("kind").mapInArrow(rewrite, schema)
+    return both.repartitionById(homes, "part").sortWithinPartitions("kind").mapInArrow(rewrite, schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
