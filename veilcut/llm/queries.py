@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
