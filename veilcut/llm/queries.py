@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup, suffix_dedup
+from . import mixing, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {
+    "op7_mixing": mixing.OP7_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
