@@ -258,8 +258,12 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
     """Undecided entries, split by `split` with the identifiers of their documents at hand."""
     homes = doc_parts(key_docs.sparkSession)
 
+    def send(found):
+        x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+        return blob_batch(list(_send(x, length, parts, homes)))
+
     def run(batches):
-        blobs, item = [], None
+        blobs, item, found, entries = [], None, [], 0
         for kind, blob in blob_rows(batches):
             if kind != TEXT:
                 blobs.append(blob)
@@ -270,7 +274,6 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
                 item = {k: v[order] for k, v in item.items()}
             if not len(item["doc"]):
                 continue
-            found = []
             ids, th, data, offsets = texts_of(blob)
             for i in np.flatnonzero(_first_rows(ids, th)):
                 a, b = np.searchsorted(item["doc"], ids[i]), np.searchsorted(item["doc"], ids[i], "right")
@@ -278,10 +281,14 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
                 if a == b:
                     continue
                 own = {k: v[a:b] for k, v in item.items()}
-                found += _split_document(own, data[offsets[i] : offsets[i + 1]], split, length)
-            if found:
-                x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-                yield blob_batch(list(_send(x, length, parts, homes)))
+                more = _split_document(own, data[offsets[i] : offsets[i + 1]], split, length)
+                found += more
+                entries += sum(len(f["hb"]) for f in more)
+            if entries >= 1 << 19:
+                yield send(found)
+                found, entries = [], 0
+        if found:
+            yield send(found)
 
     both = open_items.where(F.col("kind") == OPEN).unionByName(dealt_texts(key_docs, homes, TEXT))
     return both.repartitionById(homes, "part").sortWithinPartitions(F.col("kind") == TEXT).mapInArrow(run, BLOB_SCHEMA)
