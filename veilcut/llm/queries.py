@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, substring_dedup, suffix_dedup
+from . import mixing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op8_quality": quality.op8_quality,
     "op7_mixing": mixing.op7_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op8_quality": quality.OP8_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
