@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op8_quality": quality.op8_quality,
     "op7_mixing": mixing.op7_mixing,
     "op4_simhash": simhash.op4_simhash,
