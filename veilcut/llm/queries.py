@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op6_warc": warc.op6_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op8_quality": quality.op8_quality,
     "op7_mixing": mixing.op7_mixing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_warc": warc.OP6_SQL,
     "op8_quality": quality.OP8_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
