@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import decontaminate, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op6_warc": warc.op6_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op8_quality": quality.op8_quality,
