@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from . import decontaminate, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, surrogates, warc
 
 QUERIES = {
+    "op3_pii_surrogates": surrogates.op3_pii_surrogates,
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op6_warc": warc.op6_warc,
     "op9_decontamination": decontaminate.op9_decontamination,
