@@ -38,9 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a zstd Parquet table in the shared folder and read it again: lineage ends here."""
+def written(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
+    """Write df as a zstd Parquet table in the shared folder and read it again: lineage ends here.
+
+    small: a table of keys, for which a quarter of the shuffle's partitions write, so that files aren't tiny.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(doc_parts(spark))
     path = f"{shared_dir(spark)}/veilcut/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -297,3 +302,37 @@ class Ranges:
         new[1:] = lo[1:] > hi[:-1]
         last = np.append(np.flatnonzero(new)[1:] - 1, d - c - 1) if d > c else np.zeros(0, np.int64)
         return lo[new], hi[last]
+
+
+# ---------------------------------------------------------------- whole rows dealt by id
+
+
+def dealt_rows(df: DataFrame, id_col: str, text_col: str, parts: int, kind: int = 1, rows: int = 2000) -> DataFrame:
+    """All columns of df as zstd Arrow blobs, dealt by id like dealt_texts; columns _id and _th come first."""
+    held = df.select(
+        id_key(F.col(id_col)).alias("_id"),
+        F.coalesce(F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).cast("int").alias("_th"),
+        *(F.col(f"`{c}`") for c in df.columns),
+    )
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                part = part_of_id(np.asarray(b.column(0)), parts)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                out = []
+                for p in np.flatnonzero(np.diff(edges)):
+                    own = b.take(pa.array(order[edges[p] : edges[p + 1]]))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(own)
+                    out.append((int(p), kind, sink.getvalue().to_pybytes()))
+                yield blob_batch(out)
+
+    return held.mapInArrow(run, BLOB_SCHEMA)
+
+
+def rows_of(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()

@@ -33,7 +33,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     come to the driver.
     """
     e = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct()
-    e = written(e, "links")
+    e = written(e, "links", small=True)
     sign = None
     for _ in range(most):
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
@@ -41,7 +41,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = written(small.unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), "links")
+        e = written(small.unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), "links", small=True)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == sign:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(

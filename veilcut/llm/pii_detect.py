@@ -42,6 +42,9 @@ _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|acc
 _TITLED = re.compile(r"\b[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 
 
+_TWO = re.compile(r"[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё-]+\.? [A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -64,7 +67,7 @@ def _capital(w: str) -> bool:
 
 def _names(text: str) -> list[Mention]:
     """A known given name with a capitalised word after it, or a title with capitalised words; then, in the same text, the parts alone."""
-    if not any(f" {t}" in text or text.startswith(t) for t in _TITLES) and not any(w in text for w in _GIVEN):
+    if not _TWO.search(text):
         return []
     out, known = [], {}
     words = [m for m in _TITLED.finditer(text) if m[0][0].isupper()]

@@ -145,19 +145,19 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     schema = "kind string, canon string, attempt long, surrogate string"
     real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("real"))
-    drawn = written(entities.select("kind", "canon", F.lit(0).cast("long").alias("attempt")).mapInArrow(draw, schema), "op3-entities")
+    drawn = entities.select("kind", "canon", F.lit(0).cast("long").alias("attempt")).mapInArrow(draw, schema)
     for _ in range(ATTEMPTS):
         # a clash: another entity has the surrogate, or the surrogate is a real entity (but for listed names, which are permuted)
         owner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("own"))
         j = drawn.join(owner, ["kind", "surrogate"]).join(real, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("real")), "left")
         taken = F.col("real").isNotNull() & ~(F.col("kind").startswith("name_") & (F.col("attempt") == 0))
         j = j.select("kind", "canon", "attempt", "surrogate", ((F.col("own.canon") != F.col("canon")) | taken).alias("clash"))
-        j = written(j, "op3-clashes")
+        j = written(j, "op3-clashes", small=True)
         again = j.where("clash")
         if again.isEmpty():
             return j.select("kind", "canon", "surrogate")
         fixed = j.where("not clash").drop("clash")
-        drawn = written(fixed.unionByName(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)), "op3-entities")
+        drawn = fixed.unionByName(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema))
     raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
@@ -183,7 +183,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     held = rows.mapInArrow(find(True), f"doc_id long, text string, mentions {_MENTIONS}")
     held = written(held.withColumn("at", id_key()).withColumn("th", F.xxhash64("text")), "op3-held")
     each = held.select("at", "th", F.explode("mentions").alias("m")).select("at", "th", "m.kind", "m.canon")
-    named = assign(each.select("kind", "canon").distinct(), key)
+    named = assign(written(each.select("kind", "canon").distinct(), "op3-entities", small=True), key)
     map_of = each.join(named, ["kind", "canon"]).groupBy("at", "th").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("names"))
 
     def rewrite(batches):
