@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, surrogates, warc
+from . import decontaminate, html_extract, line_dedup, mixing, quality, simhash, substring_dedup, suffix_dedup, surrogates, warc
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op3_pii_surrogates": surrogates.op3_pii_surrogates,
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op6_warc": warc.op6_warc,
