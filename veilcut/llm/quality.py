@@ -39,10 +39,14 @@ GAMMA = 1.02
 TINY = 1e-4
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, the base counts and the counts behind the measures; one row per row of docs."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, lang, source, the base counts and the counts behind the measures; one row per row of docs.
+
+    carry: also `row`, a struct of all columns of docs.
+    """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(text_col, F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(text_col, F.lit("")).alias("text"), *row
     )
     d = d.withColumn("w", F.regexp_extract_all("text", F.lit(f"({WORD_RE})"), F.lit(1)))
     d = d.withColumn("n_words", F.size("w").cast("long"))
@@ -72,6 +76,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         gone("!").alias("n_bangs"),
         length(letters).alias("n_letters"),
         length(F.regexp_replace(letters, r"\p{Lu}+", "")).alias("n_lower"),
+        *(["row"] if carry else []),
     )
 
 
@@ -128,9 +133,9 @@ def thresholds(sketch: DataFrame, spread: float = SPREAD, least: int = LEAST) ->
     return t.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("t"))).alias(f"t_{k}") for k in MEASURES))
 
 
-def judge(docs: DataFrame, spread: float = SPREAD, least: int = LEAST, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, spread: float = SPREAD, least: int = LEAST, carry: bool = False, **columns: str) -> DataFrame:
     """One row per row of docs: the base counts, the measures, their thresholds, base_failed and kept."""
-    feats = written(features(docs, **columns), "op8-features")
+    feats = written(features(docs, carry=carry, **columns), "op8-features")
     limit = written(thresholds(sketches(feats), spread, least), "op8-thresholds")
     limit = limit.withColumnRenamed("lang", "t_lang").withColumnRenamed("source", "t_source")
     out = feats.join(limit, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
@@ -142,6 +147,11 @@ def judge(docs: DataFrame, spread: float = SPREAD, least: int = LEAST, **columns
     return out.select(*feats.columns, *(v.alias(k) for k, v in m.items()), *(f"t_{k}" for k in MEASURES), base.alias("base_failed"), fine.alias("kept"))
 
 
+def keep(docs: DataFrame, spread: float = SPREAD, least: int = LEAST, **columns: str) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep; texts are written once with their counts and not shuffled."""
+    return judge(docs, spread, least, carry=True, **columns).where("kept").select("row.*")
+
+
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

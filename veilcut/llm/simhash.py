@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, U, blob_batch, blob_rows, deal, gather, mix, part_of_hash, shuffle_parts, written
+from .common import BLOB_SCHEMA, U, blob_batch, blob_rows, deal, gather, id_key, mix, part_of_hash, shuffle_parts, written
 from .components import components, local_components
 
 SHINGLE = 3
@@ -62,14 +62,16 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SE
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id long, fp long), one row per row of docs."""
+    """(doc_id long, th long, fp long), one row per row of docs; th is a hash of the text."""
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column(1).cast(pa.binary())), U, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(2).cast(pa.binary())
+            fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in texts), U, b.num_rows)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 class Golay:
@@ -216,15 +218,25 @@ def linked(distinct_fp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp long, fingerprint (hex), component_id (least id reachable)."""
+    """One row per row of docs: doc_id, th, fp long, fingerprint (hex), component_id (least id reachable)."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "op4-fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes, "op4-nodes")
+    nodes = written(nodes, "op4-nodes", small=True)
     roots = components(linked(nodes, threshold))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     member = named.select("fp", "root").join(groups, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(member, "fp").select("doc_id", "th", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns: of each component the row with the least id (null last), one row only."""
+    found = near_duplicates(docs, threshold, shingle, id_col, text_col)
+    group = F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "fp").alias("c"))
+    first = found.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), id_key().alias("id"), "th")).alias("x"))
+    first = written(first.select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")), "op4-kept", small=True)
+    held = docs.select(id_key(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return held.join(first, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
