@@ -5,9 +5,9 @@
 2. Signatures: the set of character shingles (SHINGLE code points) is hashed, split over BANDS * ROWS bins, and
    each bin's minimum is kept; bins without a shingle are filled from further rounds of hashing (one-permutation
    MinHash: a bin agrees with odds equal to the similarity, for short lines too).  BANDS bands of ROWS values
-   are the bucket keys; at similarity 0.8 a pair shares a bucket with odds of 99.8 %.
-3. Buckets with the same lines count once.  All lines of a bucket are compared exactly where they meet: few
-   lines by sorted shingle sets, many by products of line-by-shingle matrices.  A task hands on a spanning forest of
+   are the bucket keys; at similarity 0.8 a pair shares a bucket with odds of 99 %, at 0.9 of 99.99 %.
+3. Buckets with the same lines count once.  All lines of a bucket are compared exactly where they meet: each
+   with the first, then those still apart with all others; large buckets by products of line-by-shingle matrices.  A task hands on a spanning forest of
    the links of similarity `similar` or more, never pairs.  Buckets of more than BLOCK_LINES lines or
    BLOCK_CHARS characters are cut into blocks, and every two blocks meet in a group of their own, so no task
    holds an unbounded bucket and none gives up a link.
@@ -53,14 +53,15 @@ from .common import (
 from .components import components, local_components
 
 SHINGLE = 7
-BANDS = 16
+BANDS = 12
 ROWS = 5
 SIMILAR = 0.8
 FILTER_BITS = 1 << 28
-ROUNDS = 64
+ROUNDS = 16
+PIECE = 1 << 17
 BLOCK_LINES = 2048
 BLOCK_CHARS = 1 << 21
-FEW = 24
+FEW = 64
 _ROLL = 0xA0761D6478BD642F
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -69,39 +70,68 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
+_CODE = mix(np.arange(1 << 16, dtype=np.uint64))
+
+
 def shingle_hashes(texts: list[str], k: int = SHINGLE):
-    """Hashes of all k-shingles of code points of each text and the text of each; shorter texts are one shingle."""
+    """Hashes of all k-shingles of code points of each text, and how many each text has; shorter texts are one shingle."""
     size = np.array([len(t) for t in texts], np.int64)
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(cp)
+    code = _CODE[cp] if not n or cp.max() < 1 << 16 else mix(cp.astype(U))
     total = np.zeros(n + 1, U)
-    np.cumsum(mix(cp.astype(U)) * powers(n, base=_ROLL), out=total[1:])
-    begin = np.cumsum(size) - size
+    np.cumsum(code * powers(n, base=_ROLL), out=total[1:])
+    inverse = powers(n + 1, True, base=_ROLL)
+    end = np.cumsum(size)
     each = np.maximum(1, size - k + 1)
-    own = np.repeat(np.arange(len(texts)), each)
-    start = begin[own] + np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
-    stop = np.minimum(start + k, (begin + size)[own])
-    return mix((total[stop] - total[start]) * powers(n + 1, True, base=_ROLL)[start] + (stop - start).astype(U)), own
+    if n >= k:
+        h = (total[k:] - total[:-k]) * inverse[: n - k + 1]
+        inside = np.ones(n, bool)  # starts whose shingle ends in the same text
+        for d in range(1, k):
+            at = end - d
+            inside[at[(at >= 0) & (size >= d)]] = False
+        h = h[inside[: n - k + 1]]
+    else:
+        h = np.zeros(0, U)
+    short = np.flatnonzero(size < k)
+    if len(short):
+        stop = end[short]
+        start = stop - size[short]
+        own = (total[stop] - total[start]) * inverse[start] + size[short].astype(U)
+        place = np.cumsum(np.where(size < k, 0, each))[short]
+        h = np.insert(h, place, own)
+    return mix(h), each
+
+
+def _bins(h: np.ndarray, bins: int) -> np.ndarray:
+    return ((h >> U(40)) * U(bins) >> U(24)).astype(np.int64)
 
 
 def signatures(texts: list[str], k: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:
     """One-permutation MinHash: (texts, bins) of values; a round of hashing fills the bins that those before left empty."""
-    h, own = shingle_hashes(texts, k)
+    h, each = shingle_hashes(texts, k)
+    row = np.repeat(np.arange(len(texts)) * bins, each)
+    low = U((1 << 40) - 1)
     sig = np.zeros(len(texts) * bins, U)
     full = np.zeros(len(texts) * bins, bool)
     for r in range(ROUNDS):
-        cell = own.astype(U) * U(bins) + ((h >> U(40)) * U(bins) >> U(24))
-        key = np.sort(cell << U(40) | h & U((1 << 40) - 1))
-        key = key[np.concatenate([[True], key[1:] >> U(40) != key[:-1] >> U(40)])[: len(key)]]
+        cell = row + _bins(h, bins)
+        if r:
+            new = ~full[cell]
+            key = np.sort(cell[new].astype(U) << U(40) | h[new] & low)
+        else:
+            key = np.sort(cell.astype(U) << U(40) | h & low)
         at = (key >> U(40)).astype(np.int64)
-        new = ~full[at]
-        sig[at[new]], full[at[new]] = mix(key[new] & U((1 << 40) - 1)) + U(r), True
-        short = ~full.reshape(-1, bins).all(1)
-        more = short[own]
-        if not more.any():
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1]
+        at = at[first]
+        sig[at], full[at] = (key[first] & low) + (U(r) << U(40)), True
+        lacking = ~full.reshape(-1, bins).all(1)
+        if not lacking.any():
             break
-        h, own = mix(h[more] + U(0x2545F4914F6CDD1D)), own[more]
-    return sig.reshape(-1, bins)
+        more = lacking[row // bins]
+        h, row = mix(h[more] + U(0x2545F4914F6CDD1D)), row[more]
+    return mix(sig).reshape(-1, bins)
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -114,18 +144,90 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return np.stack(out, 1)
 
 
-def jaccard(left: list[str], right: list[str], k: int = SHINGLE) -> np.ndarray:
-    """Exact Jaccard similarities of shingle sets, pair by pair (at most 65,536 pairs)."""
-    a, own_a = shingle_hashes(left, k)
-    b, own_b = shingle_hashes(right, k)
-    key = lambda h, own: np.unique(own.astype(U) << U(48) | h >> U(16))
-    a, b = key(a, own_a), key(b, own_b)
-    both = np.sort(np.concatenate([a, b]))
-    shared = both[:-1][both[1:] == both[:-1]]
-    n = len(left)
-    count = lambda x: np.bincount((x >> U(48)).astype(np.int64), minlength=n)
-    common = count(shared)
-    return common / (count(a) + count(b) - common)
+class Shingles:
+    """Sets of shingle hashes of many texts (48 bits in a set), sorted."""
+
+    def __init__(self, texts: list[str], k: int = SHINGLE):
+        parts, sizes, at = [], [], 0
+        while at < len(texts):
+            to, held = at, 0
+            while to < len(texts) and (to == at or held + len(texts[to]) < PIECE):
+                held += len(texts[to])
+                to += 1
+            h, each = shingle_hashes(texts[at:to], k)
+            key = np.sort(np.repeat(np.arange(to - at).astype(U) << U(48), each) | h >> U(16))
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+            sizes.append(np.bincount((key >> U(48)).astype(np.int64), minlength=to - at))
+            parts.append(key & U((1 << 48) - 1))
+            at = to
+        self.h = np.concatenate(parts) if parts else np.zeros(0, U)
+        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+    def similar(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Exact Jaccard similarities of pairs of texts."""
+        out, lo = np.zeros(len(u)), 0
+        weight = np.cumsum(self.size[u] + self.size[v])
+        while lo < len(u):
+            hi = min(max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + PIECE))), lo + 60_000, len(u))
+            both = np.stack([u[lo:hi], v[lo:hi]], 1).ravel()
+            n = self.size[both]
+            total = int(n.sum())
+            take = np.repeat(self.at[both] - (np.cumsum(n) - n), n) + np.arange(total)
+            pair = np.repeat(np.arange(hi - lo), n.reshape(-1, 2).sum(1)).astype(U)
+            key = np.sort(pair << U(48) | self.h[take])
+            common = np.bincount((key[:-1][key[1:] == key[:-1]] >> U(48)).astype(np.int64), minlength=hi - lo)
+            out[lo:hi] = common / (self.size[u[lo:hi]] + self.size[v[lo:hi]] - common)
+            lo = hi
+        return out
+
+    def products(self, own: np.ndarray, similar: float, columns: int = 2048):
+        """Links among many texts: shared shingles counted by products of 0/1 matrices, some columns at a time."""
+        size = self.size[own]
+        h = np.concatenate([self.h[self.at[i] : self.at[i + 1]] for i in own])
+        row = np.repeat(np.arange(len(own)), size)
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        at = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        shared = np.bincount(at)[at] > 1
+        row, at = row[shared], at[shared]
+        at = np.cumsum(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]) - 1
+        common = np.zeros((len(own), len(own)), np.float32)
+        for c in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+            lo, hi = np.searchsorted(at, c), np.searchsorted(at, c + columns)
+            m = np.zeros((len(own), min(columns, int(at[hi - 1]) - c + 1)), np.float32)
+            m[row[lo:hi], at[lo:hi] - c] = 1
+            common += m @ m.T
+        u, v = np.nonzero(np.triu(common / (size[:, None] + size[None, :] - common) >= similar, 1))
+        return own[u], own[v]
+
+    def links(self, groups: list[np.ndarray], similar: float):
+        """Links that span the components of each group: everyone with the first, then what is still apart in a group."""
+        first = np.concatenate([np.full(len(g) - 1, g[0]) for g in groups])
+        rest = np.concatenate([g[1:] for g in groups])
+        fine = self.similar(first, rest) >= similar
+        us, vs, us2, vs2 = [first[fine]], [rest[fine]], [], []
+        at = 0
+        for g in groups:
+            linked = fine[at : at + len(g) - 1]
+            at += len(g) - 1
+            if linked.all() or len(g) == 2:
+                continue
+            if len(g) > FEW:
+                u, v = self.products(g, similar)
+                us.append(u)
+                vs.append(v)
+                continue
+            apart, near = g[1:][~linked], g[1:][linked]
+            i, j = np.triu_indices(len(apart), 1)
+            us2 += [apart[i], np.repeat(apart, len(near))]
+            vs2 += [apart[j], np.tile(near, len(apart))]
+        if us2:
+            u, v = np.concatenate(us2), np.concatenate(vs2)
+            fine = self.similar(u, v) >= similar
+            us.append(u[fine])
+            vs.append(v[fine])
+        return np.concatenate(us), np.concatenate(vs)
 
 
 def _lines(text: str):
@@ -175,7 +277,7 @@ def buckets(key_docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int =
             keys, at = [], 0
             while at < len(lines):
                 to, held = at, 0
-                while to < len(lines) and (to == at or held + len(lines[to]) < CHUNK) and to - at < 100_000:
+                while to < len(lines) and (to == at or held + len(lines[to]) < PIECE):
                     held += len(lines[to])
                     to += 1
                 keys.append(band_keys(signatures(lines[at:to], k, bands * rows), bands, rows))
@@ -249,51 +351,6 @@ def texts_of_lines(key_docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids.select("line"), "line", "left_semi").groupBy("line").agg(F.first("text").alias("text"))
 
 
-def _few(groups: list[list[int]], texts: list[str], similar: float, k: int):
-    """Links inside small groups (lists of indices of texts), all pairs of a group at once."""
-    u, v = [], []
-    for g in groups:
-        i, j = np.triu_indices(len(g), 1)
-        g = np.array(g)
-        u.append(g[i])
-        v.append(g[j])
-    u, v = np.concatenate(u), np.concatenate(v)
-    size = np.array([len(t) for t in texts])
-    a, b = np.maximum(1, size[u] - k + 1), np.maximum(1, size[v] - k + 1)
-    lo, out = 0, []
-    weight = np.cumsum(a + b)
-    while lo < len(u):
-        hi = min(max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + CHUNK))), lo + 4096, len(u))
-        out.append(jaccard([texts[x] for x in u[lo:hi]], [texts[x] for x in v[lo:hi]], k) >= similar)
-        lo = hi
-    fine = np.concatenate(out)
-    return u[fine], v[fine]
-
-
-def _many(texts: list[str], similar: float, k: int, columns: int = 2048):
-    """Links in a large group: shared shingles counted by products of 0/1 matrices, some columns at a time."""
-    h, own = shingle_hashes(texts, k)
-    order = np.lexsort((own, h))
-    h, own = h[order], own[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
-    h, own = h[new], own[new]
-    size = np.bincount(own, minlength=len(texts))
-    lead = np.concatenate([[True], h[1:] != h[:-1]])
-    at = np.cumsum(lead) - 1
-    shared = np.bincount(at)[at] > 1
-    own, at = own[shared], at[shared]
-    at = np.cumsum(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]) - 1
-    common = np.zeros((len(texts), len(texts)), np.float32)
-    for c in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
-        lo, hi = np.searchsorted(at, c), np.searchsorted(at, c + columns)
-        m = np.zeros((len(texts), columns), np.float32)
-        m[own[lo:hi], at[lo:hi] - c] = 1
-        common += m @ m.T
-    u, v = np.nonzero(np.triu(common >= similar / (1 + similar) * (size[:, None] + size[None, :]) - 0.5, 1))
-    fine = common[u, v] / (size[u] + size[v] - common[u, v]) >= similar
-    return u[fine], v[fine]
-
-
 def bucket_links(held: DataFrame, texts: DataFrame, similar: float = SIMILAR, k: int = SHINGLE) -> DataFrame:
     """(u, v): spanning forests of the lines of each bucket whose exact similarity reaches `similar`."""
     sized = held.join(texts, "line").select("bucket", "line", "text", F.length("text").alias("n"))
@@ -307,19 +364,10 @@ def bucket_links(held: DataFrame, texts: DataFrame, similar: float = SIMILAR, k:
     parts = shuffle_parts(held.sparkSession)
 
     def work(groups, texts, lines):
-        few = [g for g in groups if 1 < len(g) <= FEW]
-        us, vs = [], []
-        if few:
-            u, v = _few(few, texts, similar, k)
-            us.append(u)
-            vs.append(v)
-        for g in (np.array(g) for g in groups if len(g) > FEW):
-            u, v = _many([texts[i] for i in g], similar, k)
-            us.append(g[u])
-            vs.append(g[v])
-        if not us:
+        groups = [np.array(g) for g in groups if len(g) > 1]
+        if not groups:
             return None
-        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = Shingles(texts, k).links(groups, similar)
         ids, at = np.unique(np.array(lines), return_inverse=True)
         root = local_components(len(ids), at[u], at[v])
         moved = root != np.arange(len(ids))
