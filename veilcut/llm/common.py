@@ -8,6 +8,7 @@ dealt with `repartitionById`, so one reducer holds one partition and nothing els
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -65,6 +66,24 @@ def id_key(col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID)).cast("long")
 
 
+# ---------------------------------------------------------------- memory
+
+
+def frugal(run):
+    """A mapInArrow function that gives memory back when its partition ends, so idle workers stay small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- blobs
 
 
@@ -256,6 +275,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def dealt_texts(key_docs: DataFrame, parts: int, kind: int = 1, size: int = 4 * CHUNK) -> DataFrame:
     """Texts packed under zstd, one row per (chunk, partition of the id)."""
 
+    @frugal
     def run(batches):
         for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), size):
             part = part_of_id(ids, parts)
@@ -315,6 +335,7 @@ def dealt_rows(df: DataFrame, id_col: str, text_col: str, parts: int, kind: int
         *(F.col(f"`{c}`") for c in df.columns),
     )
 
+    @frugal
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, rows):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, IS_SPACE, NULL_ID, U, _cut, doc_chunks, keyed, mix, powers, text_buffer
+from .common import IS_SPACE, NULL_ID, U, _BYTE, _cut, doc_chunks, frugal, keyed, mix, powers, text_buffer
 from .substring_dedup import window_hashes
 from .wordlists import GIVEN_FEMALE, GIVEN_MALE, NUMBER_WORDS, UNITS
 
@@ -233,6 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lit
     for items in _blocks(benchmark, block, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, width, literals))
 
+        @frugal
         def run(batches, shared=shared):
             for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",)):
                 n_tokens, n, least, verbatim = shared.value.judge(data, offsets)
@@ -257,6 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lit
     for items in _blocks(benchmark, block, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, width, literals))
 
+        @frugal
         def run(batches, shared=shared):
             for b in batches:
                 for lo in range(0, b.num_rows, 1000):

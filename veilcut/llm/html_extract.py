@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .crf import Chain, train
 from .dom import Block, blocks
 
@@ -202,6 +203,7 @@ def extract(pages: DataFrame, n: int = PAGES, seed: int = SEED, id_col: str = "p
     """One row per row of pages: page_id, url, text, n_blocks, n_content."""
     chain = model(n, seed)
 
+    @frugal
     def run(batches):
         for b in batches:
             texts, sizes, kept = [], [], []

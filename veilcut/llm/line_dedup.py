@@ -40,6 +40,7 @@ from .common import (
     deal,
     dealt_rows,
     doc_parts,
+    frugal,
     gather,
     keyed,
     mix,
@@ -256,6 +257,7 @@ def _chunks(batches, size: int):
 def occurrences(key_docs: DataFrame) -> DataFrame:
     """(id, th, place, line long): every line that has a word."""
 
+    @frugal
     def run(batches):
         for ids, ths, texts in _chunks(batches, CHUNK):
             rows = [(i, place, line_id(line)) for i, t in enumerate(texts) for place, line in _lines(t)]
@@ -271,6 +273,7 @@ def buckets(key_docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int =
     """(bucket, line): the lines of every different bucket with two lines or more."""
     parts = shuffle_parts(key_docs.sparkSession)
 
+    @frugal
     def sign(batches):
         for _, _, texts in _chunks(batches, 4 * CHUNK):
             lines = list({line: None for t in texts for _, line in _lines(t)})
@@ -288,6 +291,7 @@ def buckets(key_docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int =
             ids = np.repeat(np.array([line_id(x) for x in lines], U), bands)
             yield blob_batch(list(deal(part_of_hash(key, parts), parts, 0, hk=key, hi=ids)))
 
+    @frugal
     def meet(batches):
         blobs = [b for _, b in blob_rows(batches)]
         x = gather(blobs, ["hk", "hi"])
@@ -334,12 +338,14 @@ def texts_of_lines(key_docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits, words = _filter(ids)
     shared = key_docs.sparkSession.sparkContext.broadcast(words)
 
+    @frugal
     def lines(batches):
         for _, _, texts in _chunks(batches, CHUNK):
             found = {line_id(x): x for t in texts for _, x in _lines(t)}
             if found:
                 yield pa.record_batch([pa.array(np.fromiter(found, U, len(found)).view(np.int64)), pa.array(list(found.values()), pa.string())], ["line", "text"])
 
+    @frugal
     def keep(batches):
         for b in batches:
             at = np.asarray(b.column(1))
@@ -373,6 +379,7 @@ def bucket_links(held: DataFrame, texts: DataFrame, similar: float = SIMILAR, k:
         moved = root != np.arange(len(ids))
         return pa.record_batch([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
 
+    @frugal
     def run(batches):
         groups, texts, lines, held, now = [], [], [], 0, None
         for b in batches:
@@ -397,8 +404,8 @@ def bucket_links(held: DataFrame, texts: DataFrame, similar: float = SIMILAR, k:
 
 def line_components(key_docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of the distinct lines that have a near line."""
-    held = written(buckets(key_docs), "op5-buckets")
-    texts = written(texts_of_lines(key_docs, held.select("line").distinct()), "op5-lines")
+    held = written(buckets(key_docs), "op5-buckets", small=True)
+    texts = written(texts_of_lines(key_docs, held.select("line").distinct()), "op5-lines", small=True)
     return components(bucket_links(held, texts, similar))
 
 
@@ -413,10 +420,11 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     firsts = at.groupBy("line").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.count("*").alias("n"))
     named = firsts.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     kept = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1")
-    of = written(named.join(kept.drop("n"), "root").select("line", "kept"), "op5-kept")
+    of = written(named.join(kept.drop("n"), "root").select("line", "kept"), "op5-kept", small=True)
     gone = at.join(of, "line").where((F.col("kept.id") != F.col("id")) | (F.col("kept.th") != F.col("th")) | (F.col("kept.place") != F.col("place"))).select("id", "th", "place")
     homes = doc_parts(docs.sparkSession)
 
+    @frugal
     def send(batches):
         for b in batches:
             ids, th, place = (np.asarray(c) for c in b.columns)
@@ -427,6 +435,7 @@ def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id
     names = docs.columns
     where, length = names.index(text_col), names.index(length_col) if length_col else None
 
+    @frugal
     def rewrite(batches):
         blobs, drop = [], None
         for kind, blob in blob_rows(batches):

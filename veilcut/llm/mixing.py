@@ -78,7 +78,7 @@ def thresholds(rows: DataFrame, rest: DataFrame) -> DataFrame:
             F.max(F.struct("bucket", "before", "words", "rest")).alias("x")
         )
         state = last.select(F.col("name").alias("source"), F.col("x.rest").alias("rest"), F.col("x.bucket").alias("prefix"), F.col("x.before").alias("done"), F.col("x.words").alias("words"))
-        state = written(state, "op7-thresholds")
+        state = written(state, "op7-thresholds", small=True)
     closer = F.col("done") + F.col("words") / 2 <= F.col("rest")
     return state.select("source", (F.col("prefix") + F.when(closer, 1).otherwise(0)).alias("below"))
 
@@ -88,14 +88,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MO
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col).alias("h")
     )
-    rows = written(rows, "op7-sizes")
+    rows = written(rows, "op7-sizes", small=True)
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = written(goal.withColumn("passes", F.least(whole, F.lit(most).cast("long"))), "op7-targets")
+    goal = written(goal.withColumn("passes", F.least(whole, F.lit(most).cast("long"))), "op7-targets", small=True)
     rest = goal.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"))
     cut = thresholds(rows.where("size > 0"), rest)
     plan = goal.join(cut.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
-    plan = written(plan.withColumnRenamed("source", "name"), "op7-plan")
+    plan = written(plan.withColumnRenamed("source", "name"), "op7-plan", small=True)
     more = (F.col("passes") < most) & (F.col("h") < F.coalesce("below", F.lit(0)))
     copies = F.col("passes") + F.when(more, 1).otherwise(0)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("name")))

@@ -136,7 +136,7 @@ def thresholds(sketch: DataFrame, spread: float = SPREAD, least: int = LEAST) ->
 def judge(docs: DataFrame, spread: float = SPREAD, least: int = LEAST, carry: bool = False, **columns: str) -> DataFrame:
     """One row per row of docs: the base counts, the measures, their thresholds, base_failed and kept."""
     feats = written(features(docs, carry=carry, **columns), "op8-features")
-    limit = written(thresholds(sketches(feats), spread, least), "op8-thresholds")
+    limit = written(thresholds(sketches(feats), spread, least), "op8-thresholds", small=True)
     limit = limit.withColumnRenamed("lang", "t_lang").withColumnRenamed("source", "t_source")
     out = feats.join(limit, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))
     m = measures()

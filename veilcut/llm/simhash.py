@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, U, blob_batch, blob_rows, deal, gather, id_key, mix, part_of_hash, shuffle_parts, written
+from .common import BLOB_SCHEMA, U, blob_batch, blob_rows, deal, frugal, gather, id_key, mix, part_of_hash, shuffle_parts, written
 from .components import components, local_components
 
 SHINGLE = 3
@@ -64,6 +64,7 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SE
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id long, th long, fp long), one row per row of docs; th is a hash of the text."""
 
+    @frugal
     def run(batches):
         for b in batches:
             texts = b.column(2).cast(pa.binary())
@@ -197,6 +198,7 @@ def linked(distinct_fp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError("threshold must be 0, 1 or 2")
     parts = shuffle_parts(distinct_fp.sparkSession)
 
+    @frugal
     def replicate(batches):
         for b in batches:
             all_fp = np.asarray(b.column(0)).view(np.uint64)
@@ -206,6 +208,7 @@ def linked(distinct_fp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 part = part_of_hash(mix(anchor.astype(U)), parts)
                 yield blob_batch(list(deal(part, parts, 0, ha=anchor, hf=fp[row])))
 
+    @frugal
     def compare(batches):
         blobs = [blob for _, blob in blob_rows(batches)]
         if blobs:

@@ -29,14 +29,15 @@ from .common import (
     BLOB_SCHEMA,
     CHUNK,
     NULL_ID,
-    Ranges,
     U,
+    Ranges,
     blob_batch,
     blob_rows,
     deal,
-    doc_parts,
     dealt_texts,
     doc_chunks,
+    doc_parts,
+    frugal,
     gather,
     keyed,
     mix,
@@ -129,11 +130,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Blobs of word ranges covered by windows that start earlier too, dealt by document."""
     parts, homes = shuffle_parts(docs.sparkSession), doc_parts(docs.sparkSession)
 
+    @frugal
     def count(batches):
         for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 4 * CHUNK):
             if rows := list(_count_chunk(ids, th, data, offsets, width, parts, homes)):
                 yield blob_batch(rows)
 
+    @frugal
     def judge(batches):
         blobs = []
         for kind, blob in blob_rows(batches):
@@ -155,6 +158,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     both = repeated_windows(key_docs, width).unionByName(dealt_texts(key_docs, homes))
     schema = "doc_id long, text string, n_words long, n_removed long, n_spans long"
 
+    @frugal
     def rewrite(batches):
         blobs, ranges = [], None
         for kind, blob in blob_rows(batches):

@@ -36,14 +36,15 @@ from .common import (
     BLOB_SCHEMA,
     CHUNK,
     NULL_ID,
-    Ranges,
     U,
+    Ranges,
     blob_batch,
     blob_rows,
     deal,
-    doc_parts,
     dealt_texts,
     doc_chunks,
+    doc_parts,
+    frugal,
     gather,
     keyed,
     mix,
@@ -190,6 +191,7 @@ def _refine(blobs: list[bytes], length: int, homes: int):
 def _decided(entries: DataFrame, length: int, parts: int) -> DataFrame:
     homes = doc_parts(entries.sparkSession)
 
+    @frugal
     def run(batches):
         blobs = []
         for kind, blob in blob_rows(batches):
@@ -210,6 +212,7 @@ def _entry(hb, hc, doc, th, lo, n, ao) -> dict[str, np.ndarray]:
 def _initial(key_docs: DataFrame, length: int, parts: int) -> DataFrame:
     homes = doc_parts(key_docs.sparkSession)
 
+    @frugal
     def run(batches):
         for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",), 4 * CHUNK):
             first, found = _first_rows(ids, th), []
@@ -262,6 +265,7 @@ def _finer(open_items: DataFrame, key_docs: DataFrame, split, length: int, parts
         x = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
         return blob_batch(list(_send(x, length, parts, homes)))
 
+    @frugal
     def run(batches):
         blobs, item, found, entries = [], None, [], 0
         for kind, blob in blob_rows(batches):
@@ -331,6 +335,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         both = both.unionByName(x)
     schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
+    @frugal
     def rewrite(batches):
         blobs, ranges = [], None
         for kind, blob in blob_rows(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, written
+from .common import frugal, id_key, written
 from .pii_detect import NAMES, detect, luhn, mod97
 
 KEY = b"veilcut demonstration key"
@@ -137,6 +137,7 @@ def render(mention: str, kind: str, value: str) -> str:
 def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, surrogate) of distinct entities (kind, canon), without collisions."""
 
+    @frugal
     def draw(batches):
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns))
@@ -166,6 +167,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def find(hits: bool):
+        @frugal
         def run(batches):
             for b in batches:
                 for lo in range(0, b.num_rows, 500):
@@ -186,6 +188,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_
     named = assign(written(each.select("kind", "canon").distinct(), "op3-entities", small=True), key)
     map_of = each.join(named, ["kind", "canon"]).groupBy("at", "th").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("names"))
 
+    @frugal
     def rewrite(batches):
         for b in batches:
             ids, texts, counts, kinds, sizes = [], [], [], [], []

@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, shared_dir, written
+from .common import NULL_ID, frugal, id_key, shared_dir, written
 
 SHARD_BYTES = 256 << 20
 ROLL_BYTES = 16 << 20
@@ -132,7 +132,7 @@ def _shards(keys: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
 def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least: int = 0, level: int = LEVEL, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as WARC files under path (a URI) and commit a manifest; returns the manifest."""
     rows = pages.select(id_key(id_col).alias("id"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    keys = written(rows.select("id", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("digest")), "op6-digests")
+    keys = written(rows.select("id", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("digest")), "op6-digests", small=True)
     lo, width, shards = _shards(keys.where(F.col("id") != NULL_ID), shard_bytes)
     twins = keys.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = keys.join(twins, "digest").where(F.col("id") < F.col("refers")).select("id", "digest", "refers").distinct()
@@ -145,6 +145,7 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     both = facts.withColumn("kind", F.lit(0)).unionByName(full.withColumn("kind", F.lit(1))).withColumn("shard", shard)
     dealt = both.repartitionById(shards[-1] + 1, "shard").sortWithinPartitions("id", "kind", "url", "digest")
 
+    @frugal
     def run(batches):
         out, now, refs, before, copy = None, None, {}, None, 0
         found = []
@@ -211,6 +212,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file", "sha256"), "file")
     schema = _READ if payload else pa.schema(list(_READ)[:-1])
 
+    @frugal
     def run(batches):
         for b in batches:
             for content, sha in zip(b.column(0), b.column(1).to_pylist()):
