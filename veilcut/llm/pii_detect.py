@@ -132,9 +132,11 @@ def detect(text: str) -> list[Mention]:
                 found.append(Mention(m.start(), m.end(), "iban", canon))
         found += [Mention(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
         for m in _CARD.finditer(text):
-            canon = _only_digits(m[0])
-            if luhn(canon) and set(canon) != {"0"}:
-                found.append(Mention(m.start(), m.end(), "card", canon))
+            for raw in dict.fromkeys((m[0], m[0][:19])):  # the digits after four groups of four may be another number's
+                canon = _only_digits(raw)
+                if len(canon) >= 13 and luhn(canon) and set(canon) != {"0"}:
+                    found.append(Mention(m.start(), m.start() + len(raw), "card", canon))
+                    break
         found += [Mention(m.start(), m.end(), "ssn", _only_digits(m[0])) for m in _SSN.finditer(text)]
         rest = list(text)  # what other kinds hold isn't part of a phone number
         for m in found:
