@@ -58,22 +58,42 @@ def py_digest(key: bytes, category: str, tag: str, canonical: str) -> bytes:
     return hmac.new(category_key(key, category), enc(tag) + enc(canonical), hashlib.sha256).digest()
 
 
+class Bound:
+    """A digest and its first block, both already computed (as columns of a table or variables of a lambda)."""
+
+    def __init__(self, h: Column, first: Column):
+        self.h, self.first = h, first
+
+
+def block(h: Column, i: int) -> Column:
+    return sha256(F.concat(h, F.lit(i.to_bytes(4, "big"))))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class Stream:
-    """Numbers drawn from a digest column, each draw the next 64-bit word; draws of n <= 1 take no word."""
+    """Numbers drawn from a digest, each draw the next 64-bit word; draws of n <= 1 take no word."""
 
-    def __init__(self, h: Column):
-        self.h, self.at = h, 0
+    def __init__(self, h: Column | Bound):
+        self.h, self.first = (h.h, h.first) if isinstance(h, Bound) else (h, None)
+        self.at = 0
 
-    def word(self) -> Column:
-        i, k = divmod(self.at, 4)
-        self.at += 1
-        block = sha256(F.concat(self.h, F.lit(i.to_bytes(4, "big"))))
-        return F.conv(F.hex(F.substring(block, 1 + 8 * k, 8)), 16, 10).cast("decimal(20,0)")
+    def block(self, i: int) -> Column:
+        return self.first if i == 0 and self.first is not None else block(self.h, i)
 
     def below(self, n: int) -> Column:
+        """The next word, a big-endian 64-bit number, modulo n (n < 2**31): by its halves, so that no decimals are needed."""
         if n <= 1:
             return F.lit(0)
-        return (self.word() % F.lit(n).cast("decimal(20,0)")).cast("long")
+        if n >= 1 << 31:
+            raise ValueError("n must be below 2**31")
+        i, k = divmod(self.at, 4)
+        self.at += 1
+        half = lambda at: F.conv(F.hex(F.substring(self.block(i), 1 + 8 * k + at, 4)), 16, 10).cast("long")
+        return (half(0) % n * ((1 << 32) % n) + half(4)) % n
 
     def pick(self, words: tuple[str, ...]) -> Column:
         return F.element_at(F.array(*(F.lit(w) for w in words)), (self.below(len(words)) + 1).cast("int"))

@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .digest import Stream, sha256
+from .digest import Bound, Stream, block, let, sha256
 from .words import AREAS, FILLER, GIVEN, HOSTS, STREET, SUFFIX, SURNAME
 
 REDRAWS = 4
@@ -117,7 +117,7 @@ def ip_unique(h: Column, x: Column, limits: Limits) -> Column:
 
 def online_id(h: Column, x: Column, limits: Limits) -> Column:
     """By shape of the input: a version 4 UUID, a URL below example.invalid, or a handle."""
-    raw = F.lower(F.hex(F.substring(sha256(F.concat(h, F.lit(b"\0\0\0\0"))), 1, 16)))
+    raw = F.lower(F.hex(F.substring(Stream(h).block(0), 1, 16)))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(raw, 17, 1), 16, 10).cast("int") % 4) + 1, 1)
     uuid = F.concat(F.substring(raw, 1, 8), F.lit("-"), F.substring(raw, 9, 4), F.lit("-4"), F.substring(raw, 14, 3), F.lit("-"), variant, F.substring(raw, 18, 3), F.lit("-"), F.substring(raw, 21, 12))
     s, t = Stream(h), Stream(h)
@@ -166,7 +166,7 @@ def closed(h: Column, x: Column, limits: Limits) -> Column:
     return Stream(h).pick(limits.labels)
 
 
-Generator = Callable[[Column, Column, Limits], Column]
+Generator = Callable[["Column | Bound", Column, Limits], Column]
 #: masker -> (category, generator, size of the set of outputs)
 MASKERS: dict[str, tuple[str, Generator, int]] = {}
 
@@ -230,12 +230,38 @@ def pick(category: str, unique: bool, distinct: int) -> str | None:
     return None
 
 
+def echoes(name: str) -> bool:
+    """Maskers that draw from a vocabulary, so that an output can be the input."""
+    return name in ("person_name", "email", "address")
+
+
+def generator(name: str, limits: Limits) -> Generator:
+    return closed if limits.labels and name != "special_category" else MASKERS[name][1]
+
+
+def again(h: Column, i: int) -> Column:
+    """The digest of the i-th new draw."""
+    return sha256(F.concat(h, F.lit(b"veilcut/redraw" + bytes([i]))))
+
+
+def passed(x: Column, out: Column) -> Column:
+    return F.when(x.isNull() | (x == ""), x).otherwise(out)
+
+
 def masked(name: str, h: Column, x: Column, canonical: Column, limits: Limits = Limits()) -> Column:
     """The masked value: null and '' pass; vocabulary draws that echo the input are drawn again from a new digest."""
-    generator = closed if limits.labels and name != "special_category" else MASKERS[name][1]
-    out = generator(h, x, limits)
-    if name in ("person_name", "email", "address"):
-        for i in range(REDRAWS - 1, 0, -1):
-            again = generator(sha256(F.concat(h, F.lit(b"veilcut/redraw" + bytes([i])))), x, limits)
-            out = F.when(F.lower(out) == canonical, again).otherwise(out)
-    return F.when(x.isNull() | (x == ""), x).otherwise(out)
+    make = generator(name, limits)
+
+    def drawn(d: Column) -> Column:
+        return let(block(d, 0), lambda first: make(Bound(d, first), x, limits))
+
+    def redraw(d: Column, i: int):
+        return lambda o: F.when(F.lower(o) == canonical, let(again(d, i), drawn)).otherwise(o)
+
+    def draw(d: Column) -> Column:
+        out = drawn(d)
+        for i in range(1, REDRAWS if echoes(name) else 1):
+            out = let(out, redraw(d, i))
+        return out
+
+    return passed(x, let(h, draw))

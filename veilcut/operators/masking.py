@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import canonical as forms
-from ..functions.digest import PyStream, digest, py_digest
-from ..functions.generators import MASKERS, Limits, masked
+from ..functions.digest import Bound, PyStream, block, digest, py_digest
+from ..functions.generators import MASKERS, REDRAWS, Limits, again, echoes, generator, masked, passed
 from ..functions.words import FILLER, GIVEN, HOSTS, SURNAME
 
 
@@ -28,29 +28,52 @@ def mask_array(key: bytes, masker: str, x: Column, limits: Limits = Limits()) ->
     return F.transform(x, lambda e: mask_column(key, masker, e, limits))
 
 
+def mask_scalars(df: DataFrame, key: bytes, plan: dict[str, tuple[str, Limits]]) -> DataFrame:
+    """df with scalar columns masked, in a few projections: canonical form, digest, first block, value, new draws.
+
+    Each step names what the next uses more than once, so Catalyst keeps the projections apart and computes every
+    digest once, inside one stage of generated code.
+    """
+    names = list(df.columns)
+    cells = {c: (f"_{i}", MASKERS[m][0], m, limits) for i, (c, (m, limits)) in enumerate(plan.items())}
+    step = lambda make: df.withColumns({f"{kind}{at}": col for c, (at, cat, m, limits) in cells.items() for kind, col in make(c, at, cat, m, limits).items()})
+    forms_of = {c: forms.canonical(cat, F.col(f"x{at}")) for c, (at, cat, _, _) in cells.items()}
+    df = step(lambda c, at, *_: {"x": F.col(c).cast("string")})
+    df = step(lambda c, *_: {"c": forms_of[c][0]})
+    df = step(lambda c, at, cat, *_: {"h": digest(key, cat, forms_of[c][1], F.col(f"c{at}"))})
+    df = step(lambda c, at, *_: {"b": block(F.col(f"h{at}"), 0)})
+    df = step(lambda c, at, cat, m, limits: {"o": generator(m, limits)(Bound(F.col(f"h{at}"), F.col(f"b{at}")), F.col(f"x{at}"), limits)})
+    for i in range(1, REDRAWS):
+
+        def redraw(c, at, cat, m, limits, i=i):
+            out = F.col(f"o{at}")
+            if echoes(m):
+                out = F.when(F.lower(out) == F.col(f"c{at}"), generator(m, limits)(again(F.col(f"h{at}"), i), F.col(f"x{at}"), limits)).otherwise(out)
+            return {"o": out}
+
+        if any(echoes(m) for _, _, m, _ in cells.values()):
+            df = step(redraw)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*(passed(F.col(f"x{cells[c][0]}"), F.col(f"o{cells[c][0]}")).try_cast(types[c]).alias(c) if c in cells else F.col(c) for c in names))
+
+
 def transform(df: DataFrame, key: bytes, plan: dict[str, tuple[str, Limits]], generated: dict[str, str] | None = None) -> DataFrame:
     """A table with its planned columns masked and cast back to their types; generated columns are computed anew.
 
     Only planned columns change; the others are passed through.
     """
-    out = []
-    for f in df.schema.fields:
-        if generated and f.name in generated:
-            continue
-        if f.name not in plan:
-            out.append(F.col(f.name))
-        elif f.dataType.typeName() == "array":
-            out.append(mask_array(key, *_args(plan[f.name], f.name)).alias(f.name))
-        else:
-            out.append(mask_column(key, *_args(plan[f.name], f.name)).try_cast(f.dataType).alias(f.name))
-    done = df.select(*out)
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    names = df.columns
+    done = df.drop(*(generated or {}))
+    scalars = {c: p for c, p in plan.items() if kinds[c] != "array"}
+    if scalars:
+        done = mask_scalars(done, key, scalars)
+    for c, (masker, limits) in plan.items():
+        if kinds[c] == "array":
+            done = done.withColumn(c, mask_array(key, masker, F.col(c), limits))
     for name, expression in (generated or {}).items():
         done = done.withColumn(name, F.expr(expression))
-    return done.select(*df.columns)
-
-
-def _args(entry: tuple[str, Limits], name: str):
-    return entry[0], F.col(name), entry[1]
+    return done.select(*names)
 
 
 def emitted_counts(df: DataFrame, key: bytes, column: str, masker: str, limits: Limits = Limits()) -> DataFrame:

@@ -343,8 +343,8 @@ def _masked_query(masker: str, sql_value, limits: Limits = Limits(), category: s
         sql = f"SELECT c_custkey, {sql_value} AS masked FROM (SELECT c_custkey, c_name, {_sql_digest(category, 'text', 'canon')} AS h FROM {_CELLS})"
 
     def run(spark, d):
-        df = read(spark, d, "customer")
-        return df.select("c_custkey", masking.mask_column(KEY, masker, F.col("c_name"), limits).alias("masked"))
+        df = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("masked"))
+        return masking.transform(df, KEY, {"masked": (masker, limits)})
 
     query(sql, name)(run)
 
@@ -376,7 +376,8 @@ def _identifier_query(masker: str, sql_value: str, category: str, form: str, tag
     sql = f"SELECT {key}, {sql_value} AS masked FROM (SELECT {key}, {_sql_digest(category, tag, 'canon')} AS h FROM (SELECT {key}, {form} AS canon FROM {table}))"
 
     def run(spark, d):
-        return read(spark, d, table).select(key, masking.mask_column(KEY, masker, F.col(column), limits).alias("masked"))
+        df = read(spark, d, table).select(key, F.col(column).cast("string").alias("masked"))
+        return masking.transform(df, KEY, {"masked": (masker, limits)})
 
     query(sql, f"mask_{masker}")(run)
 
