@@ -114,8 +114,10 @@ def classify(catalog: Catalog, frames: dict[str, DataFrame], prior: dict[tuple[s
             never = c.generated is not None or t.framework or ((c.name in t.primary_key or (t.name, c.name) in keyed) and confidence.value < Confidence.POSSIBLE.value)
             out[t.name, c.name] = Decision(t.name, c.name, category, confidence, reason, never=never, unique=(c.name,) == tuple(t.primary_key), role=role(c.name))
     _neighbours(catalog, out)
+    _beside_certain(catalog, out)
     _along_keys(catalog, out)
     _same_names(catalog, out)
+    _composite_unique(catalog, out)
     for at, d in out.items():
         old = (prior or {}).get(at)
         if old and old.confidence.value > d.confidence.value:
@@ -136,6 +138,29 @@ def _neighbours(catalog: Catalog, out: dict[tuple[str, str], Decision]) -> None:
                     out[d.table, d.column] = replace(d, confidence=Confidence.POSSIBLE, reason=d.reason + "; beside personal data")
 
 
+def _beside_certain(catalog: Catalog, out: dict[tuple[str, str], Decision]) -> None:
+    """Beside a certain personal column, text columns of which nothing is known become free text; keys, labelled and unique ones are spared."""
+    keyed = {(f.child, c) for f in catalog.foreign_keys for c in f.child_columns} | {(f.parent, c) for f in catalog.foreign_keys for c in f.parent_columns}
+    for t in catalog.tables:
+        if not any(out[t.name, c.name].confidence is Confidence.CERTAIN for c in t.columns):
+            continue
+        unique = {i.columns[0] for i in t.indexes if i.unique and len(i.columns) == 1} | set(t.primary_key)
+        for c in t.columns:
+            d = out[t.name, c.name]
+            if d.category == "none" and not d.never and c.type == "string" and not c.labels and c.name not in unique and (t.name, c.name) not in keyed:
+                out[t.name, c.name] = replace(d, category="free_text", confidence=Confidence.POSSIBLE, reason="unknown text beside certain personal data")
+
+
+def _composite_unique(catalog: Catalog, out: dict[tuple[str, str], Decision]) -> None:
+    """Masked members of a composite unique key must stay distinct, unless a member that isn't masked keeps its rows apart."""
+    for t in catalog.tables:
+        for key in [t.primary_key, *(i.columns for i in t.indexes if i.unique)]:
+            masked = [c for c in key if (t.name, c) in out and out[t.name, c].masked]
+            if masked and len(masked) == len(key):
+                for c in masked:
+                    out[t.name, c] = replace(out[t.name, c], unique=True)
+
+
 def _along_keys(catalog: Catalog, out: dict[tuple[str, str], Decision]) -> None:
     """A masked parent key masks the columns that refer to it, until nothing changes."""
     changed = True

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import domain
 from .functions.digest import key_fingerprint
-from .functions.generators import Limits
 from .model import Catalog, Decision, Refusal, Request, Step
+from .operators import catalog_checks, masking, verify
 from .operators import classify as classification
-from .operators import masking, verify
 from .plans import closure, graph
 from .sources import catalog as catalogs
 from .sources import sink
@@ -57,13 +57,20 @@ def decisions_of(catalog: Catalog, frames: dict[str, DataFrame], request: Reques
 def extract(catalog: Catalog, frames: dict[str, DataFrame], steps: dict[str, Step], decisions: list[Decision], key: bytes) -> dict[str, DataFrame]:
     """The rows of each step, masked; semi-join, then one select of expressions."""
     out = {}
-    groups = {at: cat for cat, cols in graph.equality_groups(catalog, decisions) for at in cols}
+    groups = {}
+    for category, cols in graph.equality_groups(catalog, decisions):
+        rows = max((steps[t].rows for t, _ in cols if t in steps), default=0)
+        got = domain.group_masker(category, [catalog.table(t).column(c) for t, c in cols], rows, any(d.unique for d in decisions if (d.table, d.column) in cols))
+        if isinstance(got, str):
+            raise Refusal([f"{', '.join(f'{t}.{c}' for t, c in cols)}: {got}"])
+        groups |= {at: got for at in cols}
     for name, step in steps.items():
         rows = closure.selected_rows(frames[name], step.keys, step.identity)
-        todo = {d.column: (d.masker or d.category, Limits(role=d.role, unique=d.unique and d.category == "email")) for d in decisions if d.table == name and d.masked}
-        for column in todo:  # columns that a foreign key makes equal take one masker, without limits of their own
+        spec = catalog.table(name)
+        todo = {d.column: (d.masker or d.category, domain.limits_of(spec.column(d.column), d.unique and d.category == "email", d.role)) for d in decisions if d.table == name and d.masked}
+        for column in todo:  # columns that a foreign key makes equal take one masker with common limits
             if (name, column) in groups:
-                todo[column] = (groups[name, column], Limits())
+                todo[column] = groups[name, column]
         generated = {c.name: c.generated for c in catalog.table(name).columns if c.generated}
         out[name] = masking.transform(rows, key, todo, generated) if todo or generated else rows
     return out
@@ -72,6 +79,10 @@ def extract(catalog: Catalog, frames: dict[str, DataFrame], steps: dict[str, Ste
 def run(spark: SparkSession, source: str, target: str, request: Request, key: bytes, tables: tuple[str, ...] = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")) -> Outcome:
     """Plan, extract, mask, write and verify a subset of a folder of tables."""
     catalog, frames = catalogs.load(spark, source, tables)
+    causes = [f"{t}.{c} has personal data in its {place}" for t, c, place, _ in catalog_checks.literal_hits(catalog)]
+    causes += [f"{t}.{c} calls {f}, which isn't recreated" for t, c, f in catalog_checks.unknown_calls(catalog)]
+    if causes:
+        raise Refusal(causes)
     sink.gate(spark, source, target, catalog.fingerprint)
     request.keys.setdefault("lineitem", catalogs.LINEITEM_KEY)
     out = plan(spark, catalog, frames, request)
