@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from veilcut.llm import line_dedup, simhash
+from veilcut.llm import line_dedup, shingle_join, simhash
 from veilcut.llm.components import components
 
 
@@ -91,6 +91,66 @@ def test_simhash_defined_cases(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["3", "9"]
 
 
+def _near_kept(rows, similarity=0.8, k=5):
+    """(id, text) that keep_one keeps, by comparing all pairs; ids without repeats."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    lab = list(range(len(rows)))
+
+    def find(i):
+        while lab[i] != i:
+            i = lab[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or (both and both >= similarity * (len(a) + len(sets[j]) - both)):
+                x, y = find(i), find(j)
+                lab[max(x, y)] = min(x, y)
+    best = {}
+    for i, (d, t) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), (d, t)), (d, t), key=lambda r: (r[0] is None, r[0]))
+    return sorted(best.values(), key=str)
+
+
+def _near_rows():
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    passage, rows = word(40), []
+    for n in (6, 30, 60, 200, 400):
+        for _ in range(8):
+            base = word(n)
+            rows.append(base)
+            for edits in (1, max(1, n // 60), max(1, n // 40), max(1, n // 25)):
+                own = list(base)
+                for p in rng.integers(0, n, edits):
+                    own[p] = f"X{rng.integers(0, 9999)}"
+                rows.append(own)
+    big = word(120)
+    for _ in range(90):  # a large group of near copies, more than SMALL
+        own = list(big)
+        for p in rng.integers(0, 120, rng.integers(1, 5)):
+            own[p] = f"Y{rng.integers(0, 99999)}"
+        rows.append(own)
+    for _ in range(60):  # a common passage in texts that differ otherwise
+        rows.append(word(30) + passage + word(30))
+    ids = rng.permutation(len(rows)).tolist()
+    return [(i, " ".join(w)) for i, w in zip(ids, rows)] + [(9001, None), (9000, ""), (9003, "a b"), (9002, "A  b"), (9004, "a c")]
+
+
+@pytest.mark.parametrize("small, common", [(32, 200_000), (4, 1)])
+def test_near_dedup_stage_equals_brute_force(spark, monkeypatch, small, common):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(shingle_join, "SMALL", small)
+    monkeypatch.setattr(shingle_join, "COMMON", common)
+    rows = _near_rows()
+    docs = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == _near_kept(rows) and len(got) < 250
+
+
 def _shingles(x, k=7):
     return {x[i : i + k] for i in range(len(x) - k + 1)} if len(x) >= k else {x}
 

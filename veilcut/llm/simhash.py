@@ -28,8 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, U, blob_batch, blob_rows, deal, frugal, gather, id_key, mix, part_of_hash, shuffle_parts, written
+from .common import BLOB_SCHEMA, NULL_ID, U, blob_batch, blob_rows, deal, frugal, gather, id_key, mix, part_of_hash, shuffle_parts, written
 from .components import components, local_components
+from .shingle_join import SHINGLE as NEAR_SHINGLE
+from .shingle_join import SIMILARITY, near_groups
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -232,11 +234,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     return fps.join(member, "fp").select("doc_id", "th", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns: of each component the row with the least id (null last), one row only."""
-    found = near_duplicates(docs, threshold, shingle, id_col, text_col)
-    group = F.struct(F.col("component_id").isNull().alias("none"), F.coalesce("component_id", "fp").alias("c"))
-    first = found.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), id_key().alias("id"), "th")).alias("x"))
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns: of each component of near copies the row with the least id (null last), one row only.
+
+    Near copies share `similarity` of their word shingles.  Fingerprints don't decide here: texts that are 0.8 alike
+    differ in ten bits on average and some in more, so no radius finds all of them; shingle_join does.
+    """
+    found = near_groups(docs, similarity, shingle, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "th")).alias("x"))
     first = written(first.select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")), "op4-kept", small=True)
     held = docs.select(id_key(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     return held.join(first, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
