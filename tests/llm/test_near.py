@@ -210,3 +210,14 @@ def test_line_dedup_columns(spark):
     got = {str(r.doc_id): (r.text, r.lang, r.n_chars) for r in line_dedup.dedup_lines(df, length_col="n_chars", counts=False).collect()}
     assert got == {"2": ("other", "en", 5), "1": ("", "de", 0), "None": ("x\n\nsame line here", None, 17)}
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
+
+
+def test_keep_one_goes_by_component_not_by_least_id(spark):
+    word = lambda c, n=60: [f"{c}{i}" for i in range(n)]
+    near = word("n")
+    near[30] = "other"
+    rows = [(1, " ".join(word("a"))), (1, " ".join(word("b"))), (2, " ".join(word("b") + ["end"])), (None, " ".join(word("n"))), (None, " ".join(near)), (None, " ".join(word("z")))]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    # two different texts with one id both stay; of the two linked texts without an id one stays, and the unlinked one
+    assert sorted(t.split()[0] for d, t in kept if d == 1) == ["a0", "b0"] and not [d for d, _ in kept if d == 2]
+    assert sorted(t.split()[0] for d, t in kept if d is None) == ["n0", "z0"] and len(kept) == 4
