@@ -197,6 +197,34 @@ def test_templates_and_slots(spark, block):
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
 
 
+DENSE = "Convert 5 km to m , then 3 h to min , then 2 kg to g ."
+DENSE_ITEMS = [(1, DENSE), (2, "Who wrote Hamlet?"), (None, "The item without any number of its own that nobody has ever counted."), (None, "Another item of the same kind that has Ann buy 3 pears from Tom."), (5, "3 4 5 6 7 8 9 10 11 12 13"), (6, "7 plus 8 is 15")]
+DENSE_DOCS = [
+    (1, f"Some text. {DENSE} More text.", (True, True, 1)), (2, "Convert 9 kg to g , then 4 h to min , then 6 km to m .", (True, False, 1)),
+    (3, "Convert 5 km to m , then 5 h to min , then 2 kg to g .", (False, False, None)), (4, "Convert 5 km to m , then 3 h to min , and so on for all of it .", (True, True, 1)),
+    (5, "We asked. Who wrote Hamlet? Nobody knew.", (True, True, 2)), (6, "who wrote hamlet", (True, True, 2)), (7, "They know who wrote Hamlet in the end.", (False, False, None)),
+    (8, "the item without any number of its own that nobody has ever counted", (True, True, None)), (9, "Another item of the same kind that has Kim buy 7 pears from Joe.", (True, False, None)),
+    (10, "3 4 5 6 7 8 9 10 11 12 13", (True, True, 5)), (11, "23 24 25 26 27 28 29 30 31 32 33", (False, False, None)), (12, "So 7 plus 8 is 15 here", (True, True, 6)), (13, "So 7 plus 8 is 16 here", (False, False, None)),
+    (14, "Really?\n***\nWho wrote Hamlet\n---\nEnd", (True, True, 2)),
+]
+
+
+@pytest.mark.parametrize("block", [250_000, 1])
+def test_windows_of_few_literals_short_items_and_items_without_id(spark, block):
+    docs = spark.createDataFrame([d[:2] for d in DENSE_DOCS], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(DENSE_ITEMS, "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.verbatim, r.item_id) for r in decontaminate.contamination(docs, bench, block=block).collect()}
+    assert got == {d: want for d, _, want in DENSE_DOCS}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, block=block).collect()} == {d for d, _, want in DENSE_DOCS if not want[0]}
+
+
+@pytest.mark.parametrize("segment", [5, 11, 40])
+def test_sentence_starts_of_any_segment(segment):
+    text = ["One two. *** \nThree --- four:\n\n*** five ? six", "", "*** seven", "eight ***\n"]
+    got, whole = (decontaminate._tokens(*text_buffer(pa.array(text)), *x) for x in ((segment,), ()))
+    assert got[2].tolist() == whole[2].tolist() == [True, False, True, False, True, True, True, True]
+
+
 @pytest.mark.parametrize("segment", [5, 40, 1 << 20])
 def test_tokens_of_any_segment(segment):
     text = ["The man Bob has 3 apples. Today Alice walked 12.5 km with Mr Stone, and seven cows\nWe. ***  --- x5 5km ABC", "", "He. She"]

@@ -13,10 +13,14 @@ The benchmark is the query set: its windows are cut into blocks of at most `bloc
 tasks, and the documents are read once a block (a block of 250,000 windows takes some 25 MB).  The
 documents are neither shuffled nor collected.
 
+Every window of the benchmark is compared.  Other slot values are accepted in windows with `literals` tokens (or all
+but two of a short item) that aren't placeholders; windows with fewer match verbatim, and an item that has
+only such windows also with other values if all its tokens correspond and `literals` of them aren't placeholders.
+
 Defined cases: null or empty text has no tokens and is clean; benchmark items of fewer than `width` tokens match
-as a whole, those under MIN_TOKENS never; windows need `literals` tokens (or all but two of a short item) that
-aren't placeholders; a null id stays null; repeated rows each come out; other columns are ignored; an
-empty benchmark leaves all documents clean.
+as a whole, those under MIN_TOKENS verbatim and only where they are a sentence or line of their own; a null
+id stays null, and items with a null id count, but are named (null) only if no other item matches; repeated rows
+each come out; other columns are ignored; an empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ WIDTH = 10
 LITERALS = 6
 MIN_TOKENS = 5
 BLOCK = 250_000
+NO_ITEM = np.iinfo(np.int64).max  # stands for a null item id, after all others
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -51,7 +56,8 @@ _ENDS[list(b".!?:")] = True
 _SLOT = mix(np.arange(1000, 1004, dtype=np.uint64))
 
 
-def _segment(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, new_sentence: bool):
+def _segment(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, new_sentence: bool, waits: bool):
+    """Tokens of a segment (start, hash, kind, begins a sentence), whether it ends one, whether marks without a word after it did."""
     seg = data[lo:hi]
     solid = ~IS_SPACE[seg]
     begin, stop = solid.copy(), solid.copy()
@@ -61,8 +67,9 @@ def _segment(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, new_senten
     begin[inner] = solid[inner]
     stop[inner - 1] = solid[inner - 1]
     s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    last_end = int(e[-1]) if len(e) else 0
     if not len(s):
-        return None, new_sentence
+        return None, new_sentence, waits or bool((seg == 10).any())
     # sentence starts: after an end mark, a line break or a document border
     ends = _ENDS[seg[e - 1]]
     breaks = np.concatenate([[0], np.cumsum(seg == 10)])
@@ -75,10 +82,19 @@ def _segment(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, new_senten
     # outer punctuation off: the next and the last place that isn't punctuation
     plain = np.flatnonzero(~_PUNCT[seg])
     if not len(plain):
-        return None, bool(ends[-1])
+        return None, bool(ends[-1]), waits or bool(fresh.any() or ends[-1])
     first = plain[np.minimum(np.searchsorted(plain, s), len(plain) - 1)]
     last = plain[np.maximum(np.searchsorted(plain, e) - 1, 0)] + 1
     full = (first >= s) & (first < e) & (last > first) & (last <= e)
+    # a sentence begins at a token if it does so there or at one of the marks since the token before
+    seen, at = np.concatenate([[0], np.cumsum(fresh)]), np.flatnonzero(full)
+    begins = seen[at + 1] > np.concatenate([[0], seen[at[:-1] + 1]])
+    if len(at):
+        begins[0] |= waits
+        waits = bool(seen[-1] > seen[at[-1] + 1])
+    else:
+        waits = waits or bool(fresh.any())
+    waits = waits or bool(ends[-1]) or bool((seg[last_end:] == 10).any())
     s, e, fresh = first[full], last[full], fresh[full]
     n = e - s
     lower = _LOWER[seg]
@@ -95,7 +111,7 @@ def _segment(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, new_senten
     kind[title & np.isin(h, known[NAME])] = NAME
     kind[np.isin(h, known[UNIT])] = UNIT
     kind[((nd > 0) & ((nn == n) | (2 * nd >= n))) | np.isin(h, known[NUM])] = NUM
-    return (s + lo, h, kind), bool(ends[-1])
+    return (s + lo, h, kind, begins), bool(ends[-1]), waits
 
 
 _words: dict[int, np.ndarray] = {}
@@ -115,37 +131,59 @@ def _known() -> dict[int, np.ndarray]:
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, segment: int = 1 << 20):
     """Tokens of documents: (value hash, kind, first token of each document with one entry more)."""
-    parts, lo, fresh = [], 0, True
+    h, kind, _, first = _tokens(data, offsets, segment)
+    return h, kind, first
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, segment: int = 1 << 20):
+    """As tokens_of, with a flag for tokens that begin a sentence or line."""
+    parts, lo, fresh, waits = [], 0, True, True
     while lo < len(data):
         hi = _cut(data, offsets, lo, segment)
-        got, fresh = _segment(data, offsets, lo, hi, fresh)
+        got, fresh, waits = _segment(data, offsets, lo, hi, fresh, waits)
         if got is not None:
             parts.append(got)
         lo = hi
     if not parts:
-        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(len(offsets), np.int64)
-    start, h, kind = (np.concatenate(x) for x in zip(*parts))
-    return h, kind, np.searchsorted(start, offsets)
+        return np.zeros(0, U), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+    start, h, kind, begins = (np.concatenate(x) for x in zip(*parts))
+    first = np.searchsorted(start, offsets)
+    begins[first[:-1][first[:-1] < first[1:]]] = True
+    return h, kind, begins, first
 
 
 def _template(h: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.where(kind == LITERAL, h, _SLOT[kind])
 
 
+def _found(hashes: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (window, entry) with equal hashes; hashes is sorted."""
+    lo = np.searchsorted(hashes, got)
+    hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == got)
+    n = np.searchsorted(hashes, got[hit], "right") - lo[hit]
+    row = np.repeat(hit, n)
+    return row, lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Index:
-    """Template windows of a block of benchmark items, by width."""
+    """Windows of a block of benchmark items, by width: templates, verbatim ones, and items to compare as a whole."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int):
-        self.width, self.by = width, {}
+    def __init__(self, items: list[tuple[int | None, str]], width: int, literals: int):
+        self.width, self.by, self.plain, self.whole = width, {}, {}, None
         data, offsets = text_buffer(pa.array([t for _, t in items], pa.large_string()))
         h, kind, first = tokens_of(data, offsets)
         size = np.diff(first)
-        ids = np.array([i for i, _ in items], np.int64)
-        for w in sorted({min(width, int(n)) for n in size if n >= MIN_TOKENS}):
+        ids = self.ids = np.array([NO_ITEM if i is None else i for i, _ in items], np.int64)
+        literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        for w in sorted({min(width, int(n)) for n in size if n}):
             own = size >= width if w == width else size == w
             start, item, hashes = window_hashes(_template(h, kind), first, w)
-            slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
-            enough = w - (slots[start + w] - slots[start]) >= min(literals, max(1, w - 2))
+            few = literal[start + w] - literal[start]
+            enough = (few >= min(literals, max(1, w - 2))) & (w >= MIN_TOKENS)
+            self._add_plain(w, *(x[own[item] & ~enough] for x in (window_hashes(h, first, w)[2], item)))
+            if w == width:
+                loose = own & (np.bincount(item[enough], minlength=len(size)) == 0) & (literal[first[1:]] - literal[first[:-1]] >= literals)
+                self._add_whole(h, kind, first, *(x[loose[item]] for x in (start, item, hashes, few)))
             keep = own[item] & enough
             start, item, hashes = start[keep], item[keep], hashes[keep]
             at = start[:, None] + np.arange(w)
@@ -154,25 +192,48 @@ class Index:
             key = hashes + mix(value[:, 0])
             for k in range(1, w):
                 key = mix(key + value[:, k])
-            order = np.lexsort((ids[item], key, hashes))
+            order = np.lexsort((item, ids[item], key, hashes))
             keep = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]
             order = order[keep]
             if len(order):
-                self.by[w] = (hashes[order], ids[item[order]], value[order], start[order] - first[item[order]])
-
-    def matches(self, h: np.ndarray, kind: np.ndarray, first: np.ndarray):
-        """Consistent matches: (document, item, verbatim)."""
+                self.by[w] = (hashes[order], item[order], value[order], start[order] - first[item[order]])
+
+    def _add_plain(self, w: int, hashes: np.ndarray, item: np.ndarray) -> None:
+        """Windows that only match verbatim; the least item stands for equal ones."""
+        order = np.lexsort((self.ids[item], hashes))
+        hashes, item = hashes[order], item[order]
+        keep = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(order)]
+        if len(hashes):
+            self.plain[w] = (hashes[keep], item[keep])
+
+    def _add_whole(self, h, kind, first, start, item, hashes, few) -> None:
+        """Items without a window of enough literals, found by their window with the most."""
+        order = np.lexsort((start, -few, item))
+        best = order[np.concatenate([[True], item[order][1:] != item[order][:-1]])[: len(order)]]
+        best = best[np.argsort(hashes[best], kind="stable")]
+        if len(best):
+            texts = [(_template(h, kind)[a:b], np.where(kind == LITERAL, U(0), h)[a:b]) for a, b in zip(first[item[best]], first[item[best] + 1])]
+            self.whole = (hashes[best], item[best], start[best] - first[item[best]], texts)
+
+    def matches(self, h: np.ndarray, kind: np.ndarray, first: np.ndarray, begins: np.ndarray):
+        """Consistent matches: (document, item id, verbatim)."""
         docs, items, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         t = _template(h, kind)
-        for w, (hashes, ids, value, place) in self.by.items():
+        for w, (hashes, item) in self.plain.items():
+            start, doc, got = window_hashes(h, first, w)
+            row, entry = _found(hashes, got)
+            if w < MIN_TOKENS:
+                end = start[row] + w
+                alone = begins[start[row]] & ((end == first[doc[row] + 1]) | begins[np.minimum(end, len(h) - 1)])
+                row, entry = row[alone], entry[alone]
+            docs.append(doc[row])
+            items.append(self.ids[item[entry]])
+            same.append(np.ones(len(row), bool))
+        for w, (hashes, item, value, place) in self.by.items():
             start, doc, got = window_hashes(t, first, w)
-            lo = np.searchsorted(hashes, got)
-            hit = np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == got)
-            if not len(hit):
+            row, entry = _found(hashes, got)
+            if not len(row):
                 continue
-            n = np.searchsorted(hashes, got[hit], "right") - lo[hit]
-            row = np.repeat(hit, n)
-            entry = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = start[row][:, None] + np.arange(w)
             ours = np.where(kind[at] == LITERAL, U(0), h[at])
             theirs = value[entry]
@@ -185,12 +246,37 @@ class Index:
                     ok &= (a[:, i] == 0) | (a[:, j] == 0) | ((a[:, i] == a[:, j]) == (b[:, i] == b[:, j]))
             fine[busy] = ok
             exact = (ours == theirs).all(1)
-            self._whole(doc[row], ids[entry], start[row] - place[entry], ours, theirs, exact, fine)
+            self._whole(doc[row], item[entry], start[row] - place[entry], ours, theirs, exact, fine)
             docs.append(doc[row][fine])
-            items.append(ids[entry][fine])
+            items.append(self.ids[item[entry]][fine])
             same.append(exact[fine])
+        if self.whole is not None:
+            for doc, item, exact in self._whole_items(t, h, kind, first):
+                docs.append(np.array([doc]))
+                items.append(self.ids[[item]])
+                same.append(np.array([exact]))
         return np.concatenate(docs), np.concatenate(items), np.concatenate(same)
 
+    def _whole_items(self, t: np.ndarray, h: np.ndarray, kind: np.ndarray, first: np.ndarray):
+        """(document, item, verbatim) where all tokens of an item correspond, slots one to one."""
+        hashes, item, place, texts = self.whole
+        start, doc, got = window_hashes(t, first, self.width)
+        row, entry = _found(hashes, got)
+        for e in np.unique(entry).tolist():
+            template, theirs = texts[e]
+            own = row[entry == e]
+            at, d = start[own] - place[e], doc[own]
+            inside = (at >= first[d]) & (at + len(template) <= first[d + 1])
+            at, d = at[inside], d[inside]
+            for k in range(len(template)):
+                equal = t[at + k] == template[k]
+                at, d = at[equal], d[equal]
+            for a, one in zip(at.tolist(), d.tolist()):
+                ours = np.where(kind[a : a + len(template)] == LITERAL, U(0), h[a : a + len(template)])
+                pairs = set(zip(ours[ours != 0].tolist(), theirs[ours != 0].tolist()))
+                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
+                    yield one, int(item[e]), bool((ours == theirs).all())
+
     @staticmethod
     def _whole(doc, item, shift, ours, theirs, exact, fine) -> None:
         """Take back re-parameterised windows whose slots don't correspond over all windows of one document, item and shift."""
@@ -207,10 +293,10 @@ class Index:
 
     def judge(self, data: np.ndarray, offsets: np.ndarray):
         """For each document: tokens, consistent windows, least item, whether a window is verbatim."""
-        h, kind, first = tokens_of(data, offsets)
-        doc, item, same = self.matches(h, kind, first)
+        h, kind, begins, first = _tokens(data, offsets)
+        doc, item, same = self.matches(h, kind, first, begins)
         n = np.bincount(doc, minlength=len(offsets) - 1)
-        least = np.full(len(n), np.iinfo(np.int64).max)
+        least = np.full(len(n), NO_ITEM)
         np.minimum.at(least, doc, item)
         verbatim = np.zeros(len(n), bool)
         verbatim[doc[same]] = True
@@ -219,11 +305,11 @@ class Index:
 
 def _blocks(benchmark: DataFrame, block: int, item_col: str, text_col: str):
     """The benchmark's items in lists of at most about `block` windows; each fits the driver by that bound."""
-    b = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).where("i is not null")
+    b = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     words = b.agg(F.sum(F.length("t"))).first()[0] or 0  # no item has more windows than characters
     n = max(1, -(-int(words) // (4 * block)))
     for k in range(n):
-        yield [(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        yield [(r.i, r.t) for r in b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -237,7 +323,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lit
         def run(batches, shared=shared):
             for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",)):
                 n_tokens, n, least, verbatim = shared.value.judge(data, offsets)
-                columns = [pa.array(ids, mask=ids == NULL_ID), pa.array(th, pa.int32()), pa.array(n_tokens), pa.array(n), pa.array(least, mask=n == 0), pa.array(verbatim)]
+                columns = [pa.array(ids, mask=ids == NULL_ID), pa.array(th, pa.int32()), pa.array(n_tokens), pa.array(n), pa.array(least, mask=least == NO_ITEM), pa.array(verbatim)]
                 yield pa.record_batch(columns, ["doc_id", "th", "n_tokens", "n_windows", "item_id", "verbatim"])
 
         one = key_docs.mapInArrow(run, schema)
