@@ -22,6 +22,15 @@ def test_leaf_blocks():
     assert len(blocks("<p title='" * 3000 + "x")) <= 1  # open quotes don't stall
 
 
+def test_elements_hide_no_more_than_themselves():
+    texts = lambda html: " | ".join(b.text for b in blocks(html))
+    assert texts("<p>One <svg width='1'/> two</p><p>three</p>") == "One two | three"
+    assert texts("<p>One <math/> two <video-js id=x>three</video-js></p><select-menu>four</select-menu><p>five <audio-player> six") == "One two three | four | five six"
+    assert texts("<p>Let <math><mi>x</mi></math> be</p><p><object data=a>the map</object></p><p>pick <select><option>a<p>on") == "Let x be | the map | pick | a | on"
+    assert texts("<p>a<svg><text>no</text></svg> <noscript>no</noscript><select><option>no</select>b</p><script>no</p>") == "a b"
+    assert len(blocks("<select><p>x" * 3000)) == 3000  # searched once
+
+
 def test_held_out_pages():
     chain, wrong, total = html_extract.model(), 0, 0
     for page, labels in html_extract.labelled_pages(150, 99):

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from html import unescape
 
-_RAW = "script|style|noscript|template|title|textarea|svg|iframe|math|object|canvas|select|audio|video"
+#: no markup inside: they end at their end tag or with the page
+_RAW = "script|style|title|textarea|iframe"
+#: not shown: dropped up to their end tag, and nothing is dropped if there is none
+_HIDDEN = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template", "svg", "select")}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({_RAW})(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
@@ -43,6 +46,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     in_link, links, at = False, 0, 0
+    endless: set[str] = set()
 
     def flush():
         nonlocal links
@@ -60,7 +64,7 @@ def blocks(html: str) -> list[Block]:
             if in_link:
                 links += len(text.strip())
 
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
         tag = m[3] or m[6]
@@ -70,6 +74,14 @@ def blocks(html: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in _HIDDEN:
+            if not closing and tag not in endless and not (tag == "svg" and (m[4] or m[7] or "").endswith("/")):
+                end = _HIDDEN[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag == "a":
             in_link = not closing
             continue
