@@ -19,3 +19,18 @@ def test_flagship_has_rows_and_no_orphans(spark, data):
 def test_closure_plan_prunes_groups_by_cap(spark, data):
     plan = QUERIES["subset_child_cap"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_geo_of_large_ids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from veilcut.functions import canonical
+
+    ids = [1, 999999, 1000000, 9999999, 10000000, 123456789012, 2**53 + 1]
+    df = spark.createDataFrame([(i,) for i in ids], "c_custkey long")
+    assert [r.c for r in df.select(canonical.geo(F.col("c_custkey")).alias("c")).collect()] == [f"{i}.0" for i in ids]
+    odd = ["1e7", "52.50", "-0.00001", "1E300", "a B", None]
+    got = spark.createDataFrame([(x,) for x in odd], "x string").select(canonical.geo(F.col("x")).alias("c")).collect()
+    assert [r.c for r in got] == ["10000000.0", "52.5", "-0.00001", "1.0E300", "a b", None]
+    df.write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(r.c_custkey for r in QUERIES["mask_geo"](spark, str(tmp_path)).collect()) == ids

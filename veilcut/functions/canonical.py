@@ -63,7 +63,10 @@ def person_date(x: Column) -> Column:
 
 
 def geo(x: Column) -> Column:
-    return F.coalesce(x.try_cast("double").cast("string"), fold_ascii(x))
+    """Numbers as plain decimals with a digit after the point; those that 38 digits don't hold as Spark writes a double."""
+    number, exact = x.try_cast("double"), x.cast("string").try_cast("decimal(38,18)")
+    plain = F.regexp_replace(exact.cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    return F.coalesce(F.when(exact.cast("double") == number, plain), number.cast("string"), fold_ascii(x))
 
 
 def network(x: Column) -> Column:
