@@ -34,3 +34,15 @@ def test_geo_of_large_ids(spark, tmp_path):
     assert [r.c for r in got] == ["10000000.0", "52.5", "-0.00001", "1.0E300", "a b", None]
     df.write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(r.c_custkey for r in QUERIES["mask_geo"](spark, str(tmp_path)).collect()) == ids
+
+
+def test_fold_of_all_documents(spark, data, tmp_path):
+    import unicodedata
+
+    want = {1: "strasse ss", 2: "file x", 3: "éa", 4: "plain text", 5: None, 6: "abc"}
+    rows = [(1, "Straße\u00a0ẞ"), (2, "ﬁle  X"), (3, "E\u0301\u0041"), (4, " Plain\ttext "), (5, None), (6, "ＡＢＣ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.canon for r in QUERIES["canonical_fold_all"](spark, str(tmp_path)).collect()} == want
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r.canon for r in QUERIES["canonical_fold_all"](spark, data).collect()}
+    assert got == {d: t and " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for d, t in texts.items()}

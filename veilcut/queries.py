@@ -464,6 +464,14 @@ def canonical_fold(spark, d):
     return read(spark, d, "documents").where("octet_length(text) = length(text)").select("doc_id", forms.fold(F.col("text")).alias("canon"))
 
 
+def canonical_fold_all(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of all documents; NFKC and full case folding can't be said in the SQL of canonical_fold, which holds ASCII only."""
+    return read(spark, d, "documents").select("doc_id", forms.fold(F.col("text")).alias("canon"))
+
+
+QUERIES["canonical_fold_all"] = canonical_fold_all
+
+
 # ---------------------------------------------------------------- validators over tokens of documents
 
 _TOKENS = r"(SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents)"
