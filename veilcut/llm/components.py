@@ -24,18 +24,18 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with a link, root the least node of its component.
 
     edges: (u, v) of one orderable type; loops, repeats and either direction are allowed.  Each round
     is two aggregations and two joins on nodes (a hub's rows are split by adaptive execution), written to
-    the shared folder; rounds grow with the logarithm of the largest component.  Only two sums a round
-    come to the driver.
+    the shared folder; rounds grow with the logarithm of the largest component, and no links change once every
+    node points to its root, so the loop ends.  Only two sums a round come to the driver.
     """
     e = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a <> b").distinct()
     e = written(e, "links", small=True)
     sign = None
-    for _ in range(most):
+    while True:
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
         least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
@@ -48,4 +48,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
                 e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
             )
         sign = now
-    raise RuntimeError(f"components did not settle in {most} rounds")

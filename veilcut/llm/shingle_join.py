@@ -2,8 +2,12 @@
 
 Texts are sets of 64-bit hashes of `shingle` words in a row (ASCII letters lower-cased).  All hashes have one order.
 Two sets whose similarity is s or more share one of the first n - ceil(s * n) + 1 hashes of either, so
-only those prefixes are dealt by hash, and every pair that meets in a hash and whose sizes allow s is compared on
-its texts.  The order is free: hashes that a sample of the documents shows often come last, which keeps
+only those prefixes are dealt by hash.  Of the pairs that meet in a hash three bounds, none of which loses a pair,
+leave those worth a look: their sizes; what follows the hash in both (the first hash that two sets share has all
+others that they share behind it); and parity bitmaps, some two bits a shingle: sets differ in at least as many hashes
+as their bitmaps do in bits.  Pairs are ids and bitmaps until then; only those left are compared on their texts, first one
+pair for each node, then those whose nodes aren't in one component yet.
+The order is free: hashes that a sample of the documents shows often come last, which keeps
 common passages out of the prefixes; the sample changes the time, never the result.
 
 Equal sets are one node.  A hash with more than SMALL nodes is worked off in two rounds: the first links nodes to some
@@ -31,6 +35,11 @@ SIMILARITY = 0.8
 SMALL = 32
 SAMPLE = 20_000
 COMMON = 200_000
+#: Bits of a parity bitmap, at least and at most; more bits only prune better.
+BITS = (64, 1 << 17)
+#: Rows of two longs that are broadcast at most; more are joined by a shuffle.
+FEW_ROWS = 200_000
+_CELL = U(0x5851F42D4C957F2D)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -68,17 +77,49 @@ def _least_common(a: int | np.ndarray, similarity: float):
     return np.ceil(a * similarity - 1e-9)
 
 
+def _fits(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of sizes a and b may be similar if the first hash they share has places i and j in them."""
+    need = np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+    return np.minimum(a - i, b - j) >= need
+
+
+def bitmaps(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of every set a bit for each of a power of two of cells: whether an odd number of its hashes fall there."""
+    bits = np.full(len(size), BITS[0], np.int64)
+    while (small := (bits < 2 * size) & (bits < BITS[1])).any():
+        bits[small] *= 2
+    start = np.concatenate([[0], np.cumsum(bits)])
+    cell = start[doc] + (mix(h ^ _CELL) & (bits[doc] - 1).astype(U)).astype(np.int64)
+    odd = np.packbits((np.bincount(cell, minlength=start[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [odd[a >> 3 : b >> 3] for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter: no more than the sets differ in hashes."""
+    x, y, n, m = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x >> n) ^ (x & (1 << n) - 1)
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & (1 << m) - 1)
+    return (x ^ y).bit_count()
+
+
 def nodes_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id long, th long, node long), one row per row of docs."""
+    """(id long, th long, node long, size long, bits binary), one row per row of docs."""
 
     @frugal
     def run(batches):
         for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",)):
-            node, _ = _nodes(*shingle_sets(data, offsets, shingle), len(ids))
-            yield pa.record_batch([pa.array(ids), pa.array(th), pa.array(node.view(np.int64))], ["id", "th", "node"])
+            doc, h = shingle_sets(data, offsets, shingle)
+            node, size = _nodes(doc, h, len(ids))
+            yield pa.record_batch(
+                [pa.array(ids), pa.array(th), pa.array(node.view(np.int64)), pa.array(size), pa.array(bitmaps(doc, h, size), pa.binary())], ["id", "th", "node", "size", "bits"]
+            )
 
     rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, th long, node long")
+    return rows.mapInArrow(run, "id long, th long, node long, size long, bits binary")
 
 
 def common_hashes(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
@@ -97,7 +138,7 @@ def common_hashes(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, shingle: int, similarity: float, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (kind, u, v, n): pairs to compare (kind 0), and (hash, node, size) of hashes with many nodes (kind 1)."""
+    """Pairs (u, v) to compare, and (h, node, size, rank) of hashes with many nodes."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     shared = spark.sparkContext.broadcast(common_hashes(docs, shingle, text_col))
@@ -113,20 +154,20 @@ def candidates(docs: DataFrame, shingle: int, similarity: float, text_col: str)
             doc, h = doc[order], h[order]
             rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
             keep = rank <= size[doc] - _least_common(size[doc], similarity)
-            doc, h = doc[keep], h[keep]
-            yield blob_batch(list(deal(part_of_hash(mix(h), parts), parts, 0, hh=h, hn=node[doc], size=size[doc].astype(np.int32))))
+            doc, h, rank = doc[keep], h[keep], rank[keep]
+            yield blob_batch(list(deal(part_of_hash(mix(h), parts), parts, 0, hh=h, hn=node[doc], size=size[doc].astype(np.int32), rank=rank.astype(np.int32))))
 
     @frugal
     def compare(batches):
         blobs = [blob for _, blob in blob_rows(batches)]
         if not blobs:
             return
-        x = gather(blobs, ["hh", "hn", "size"])
+        x = gather(blobs, ["hh", "hn", "size", "rank"])
         order = np.lexsort((x["hn"], x["size"], x["hh"]))
-        h, node, size = x["hh"][order], x["hn"][order], x["size"][order].astype(np.int64)
+        h, node, size, rank = x["hh"][order], x["hn"][order], x["size"][order].astype(np.int64), x["rank"][order].astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, size = h[new], node[new], size[new]
+        h, node, size, rank = h[new], node[new], size[new], rank[new]
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(edge, len(h)))
         count = np.repeat(count, count)
@@ -137,7 +178,7 @@ def candidates(docs: DataFrame, shingle: int, similarity: float, text_col: str)
             if not len(same):
                 break
             a, b = few[same], few[same + k]
-            fine = size[a] >= _least_common(size[b], similarity)
+            fine = _fits(size[a], size[b], rank[a], rank[b], similarity)
             us.append(node[a[fine]])
             vs.append(node[b[fine]])
         large = np.flatnonzero(count > SMALL)
@@ -145,24 +186,25 @@ def candidates(docs: DataFrame, shingle: int, similarity: float, text_col: str)
             start = np.searchsorted(h, h[large])
             hub = start + (large - start) // SMALL * SMALL
             for a in (np.maximum(large - 1, start), hub, np.maximum(hub - SMALL, start)):
-                fine = (a != large) & (size[a] >= _least_common(size[large], similarity))
+                fine = (a != large) & _fits(size[a], size[large], rank[a], rank[large], similarity)
                 us.append(node[a[fine]])
                 vs.append(node[large[fine]])
             for lo in range(0, len(large), 1 << 17):
                 own = large[lo : lo + (1 << 17)]
-                yield _rows(1, h[own], node[own], size[own])
+                yield _rows(1, h[own], node[own], size[own], rank[own])
         u, v = _pairs(us, vs)
         for lo in range(0, len(u), 1 << 17):
-            yield _rows(0, u[lo : lo + (1 << 17)], v[lo : lo + (1 << 17)], np.zeros(len(u[lo : lo + (1 << 17)]), np.int64))
+            none = np.zeros(len(u[lo : lo + (1 << 17)]), np.int64)
+            yield _rows(0, u[lo : lo + (1 << 17)], v[lo : lo + (1 << 17)], none, none)
 
     rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(prefixes, BLOB_SCHEMA).repartitionById(parts, "part").mapInArrow(compare, "kind int, u long, v long, n long")
+    found = rows.mapInArrow(prefixes, BLOB_SCHEMA).repartitionById(parts, "part").mapInArrow(compare, "kind int, u long, v long, n long, rank long")
     found = written(found, "near-candidates")
-    return found.where("kind = 0").select("u", "v").distinct(), found.where("kind = 1").select(F.col("u").alias("h"), F.col("v").alias("node"), F.col("n").alias("size"))
+    return found.where("kind = 0").select("u", "v").distinct(), found.where("kind = 1").select(F.col("u").alias("h"), F.col("v").alias("node"), F.col("n").alias("size"), "rank")
 
 
-def _rows(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["kind", "u", "v", "n"])
+def _rows(kind: int, u: np.ndarray, v: np.ndarray, n: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n), pa.array(rank)], ["kind", "u", "v", "n", "rank"])
 
 
 def _pairs(us: list, vs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -181,22 +223,22 @@ def _pairs(us: list, vs: list) -> tuple[np.ndarray, np.ndarray]:
 def open_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of a hash whose nodes are in different components and may be similar by size."""
     parts = shuffle_parts(members.sparkSession)
-    held = members.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+    held = members.join(roots, "node", "left").select("h", "node", "size", "rank", F.coalesce("root", "node").alias("root"))
 
     @frugal
     def deal_out(batches):
         for b in batches:
-            h, node, size, root = (np.asarray(c).view(np.uint64) for c in b.columns)
-            yield blob_batch(list(deal(part_of_hash(mix(h), parts), parts, 0, hh=h, hn=node, hr=root, size=size.astype(np.int32))))
+            h, node, size, rank, root = (np.asarray(c).view(np.uint64) for c in b.columns)
+            yield blob_batch(list(deal(part_of_hash(mix(h), parts), parts, 0, hh=h, hn=node, hr=root, size=size.astype(np.int32), rank=rank.astype(np.int32))))
 
     @frugal
     def run(batches):
         blobs = [blob for _, blob in blob_rows(batches)]
         if not blobs:
             return
-        x = gather(blobs, ["hh", "hn", "hr", "size"])
+        x = gather(blobs, ["hh", "hn", "hr", "size", "rank"])
         order = np.lexsort((x["size"], x["hh"]))
-        h, node, root, size = x["hh"][order], x["hn"][order], x["hr"][order], x["size"][order].astype(np.int64)
+        h, node, root, size, rank = x["hh"][order], x["hn"][order], x["hr"][order], x["size"][order].astype(np.int64), x["rank"][order].astype(np.int64)
         edge, us, vs, held = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), [], [], 0
         for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(h)).tolist()):
             # of the largest component only the pairs with others: i runs over the nodes outside it
@@ -208,7 +250,8 @@ def open_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataF
                 i += lo
                 a = lo + int(np.searchsorted(size[lo:hi], _least_common(size[i], similarity)))
                 b = lo + int(np.searchsorted(size[lo:hi], math.floor(size[i] / similarity + 1e-9), "right"))
-                others = node[a:b][(root[a:b] != root[i]) & (main[a - lo : b - lo] | (node[a:b] > node[i]))]
+                fine = _fits(size[a:b], size[i], rank[a:b], rank[i], similarity)
+                others = node[a:b][fine & (root[a:b] != root[i]) & (main[a - lo : b - lo] | (node[a:b] > node[i]))]
                 us.append(others)
                 vs.append(np.full(len(others), node[i]))
                 held += len(others)
@@ -246,6 +289,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of nodes whose bitmaps allow the similarity; nodes is (node, size, bits)."""
+
+    @frugal
+    def run(batches):
+        for b in batches:
+            n = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            apart = np.fromiter((differing(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5))), np.int64, b.num_rows)
+            common = (n - apart) / 2
+            yield b.select(["u", "v"]).filter(pa.array(common >= similarity * (n - common) - 1e-9))
+
+    one = nodes.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("bits").alias("a"))
+    two = nodes.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("bits").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of some longs, to be broadcast if it has at most FEW_ROWS rows."""
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, root) of every row of docs: root stands for the component of its text; id as of id_key, th a hash of the text."""
     if not 0 < similarity <= 1:
@@ -254,17 +318,40 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     pairs, members = candidates(docs, shingle, similarity, text_col)
     members = written(members, "near-members", small=True)
 
-    def confirm(p: DataFrame) -> DataFrame:
+    def worth(p: DataFrame) -> DataFrame:
         p = written(p, "near-pairs", small=True)
         named = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        one = rows.join(named, "node").groupBy("node").agg(F.min(F.struct("id", "th")).alias("x")).select("node", F.col("x.id").alias("id"), F.col("x.th").alias("th"))
+        nodes = rows.join(named, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+        return written(possible(p, nodes, similarity), "near-possible", small=True)
+
+    def confirm(p: DataFrame) -> DataFrame:
+        """p: a written table."""
+        named = p.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        one = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("x")).select("node", F.col("x.id").alias("id"), F.col("x.th").alias("th"))
+        one = few(written(one, "near-named", small=True))
         held = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
         texts = held.join(one, ["id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
-        return written(confirmed(p, written(texts, "near-texts"), shingle, similarity), "near-links", small=True)
-
-    links = confirm(pairs)
-    roots = components(links)
+        return written(confirmed(p, written(texts, "near-texts", small=True), shingle, similarity), "near-links", small=True)
+
+    def links_of(p: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The links confirmed so far and those among p, up to such within a component; their components."""
+        p = worth(p)
+        if p.limit(1).count():
+            tree = written(p.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-tree", small=True)
+            first = confirm(tree)
+            links = first if links is None else links.unionByName(first)
+            roots = components(links)
+            apart = p.join(tree, ["u", "v"], "left_anti")
+            for k in ("u", "v"):
+                apart = apart.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")), k, "left")
+            apart = written(apart.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "near-apart", small=True)
+            if apart.limit(1).count():
+                links = links.unionByName(confirm(apart))
+        elif links is None:
+            links = p
+        return links, components(links)
+
+    links, roots = links_of(pairs, None)
     if members.limit(1).count():
-        links = links.unionByName(confirm(open_pairs(members, roots, similarity)))
-        roots = components(links)
+        links, roots = links_of(open_pairs(members, roots, similarity), links)
     return rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import BLOB_SCHEMA, NULL_ID, U, blob_batch, blob_rows, deal, frugal, gather, id_key, mix, part_of_hash, shuffle_parts, written
 from .components import components, local_components
 from .shingle_join import SHINGLE as NEAR_SHINGLE
-from .shingle_join import SIMILARITY, near_groups
+from .shingle_join import SIMILARITY, few, near_groups
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -240,11 +240,15 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEA
     Near copies share `similarity` of their word shingles.  Fingerprints don't decide here: texts that are 0.8 alike
     differ in ten bits on average and some in more, so no radius finds all of them; shingle_join does.
     """
-    found = near_groups(docs, similarity, shingle, id_col, text_col)
+    found = written(near_groups(docs, similarity, shingle, id_col, text_col), "op4-groups")
     first = found.groupBy("root").agg(F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "th")).alias("x"))
-    first = written(first.select(F.col("x.id").alias("_id"), F.col("x.th").alias("_th")), "op4-kept", small=True)
+    own = found.join(first, "root").groupBy("id", "th").agg(F.count("*").alias("n"), F.max((F.col("x.id") == F.col("id")) & (F.col("x.th") == F.col("th"))).alias("stays"))
+    # rows to drop, and those of which one of several equal rows stays; all others come out as they are, without a shuffle
+    touched = written(own.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "stays"), "op4-touched", small=True)
     held = docs.select(id_key(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    return held.join(first, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
+    single = held.join(few(touched), ["_id", "_th"], "left_anti").select("_row.*")
+    again = held.join(few(touched.where("stays")), ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.first("_row").alias("_row")).select("_row.*")
+    return single.unionByName(again)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
