@@ -1,4 +1,9 @@
-"""Detection of personal data and secrets in a text: mentions with type and canonical form."""
+"""Detection of personal data and secrets in a text: mentions with class, normal form and, for names, the role seen.
+
+A mention's class and normal form name its entity: all names are of class `name` whatever their role, and a number
+of the North American plan has one form with and without +1.  Names are known by lists, titles and the words beside
+them; a name found once in a text is found in all of it, in any case of letters that a name takes (Smith, SMITH).
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ class Mention(NamedTuple):
     end: int
     kind: str
     canon: str
+    role: str = ""  # of a name: f or m for given names, s for surnames
 
 
 CYRILLIC_FEMALE = ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана", "Юлия", "Дарья")
@@ -25,6 +31,7 @@ NAMES = {
 }
 _GIVEN = {w: (script, c) for (script, c), words in NAMES.items() if c != "s" for w in words}
 _SURNAME = {w: script for (script, c), words in NAMES.items() if c == "s" for w in words}
+_FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа")
 _TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Г-н", "Г-жа")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+\-]{1,64}\Z")
@@ -42,7 +49,7 @@ _SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|acc
 _TITLED = re.compile(r"\b[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 
 
-_TWO = re.compile(r"[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё-]+\.? [A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]")
+_TWO = re.compile(r"[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё-]+\.? [A-ZÀ-ÞА-ЯЁ][^\W\d_]")
 
 
 def luhn(digits: str) -> bool:
@@ -65,44 +72,75 @@ def _capital(w: str) -> bool:
     return len(w) > 1 and w[0].isupper() and w[1:].islower()
 
 
+def _as_name(w: str) -> str | None:
+    """The word as a name is written in lists, or None: `Smith`, and `SMITH` if that is a listed name."""
+    if _capital(w):
+        return w
+    if len(w) > 1 and w.isupper() and ((x := w.capitalize()) in _GIVEN or x in _SURNAME):
+        return x
+    return None
+
+
 def _names(text: str) -> list[Mention]:
-    """A known given name with a capitalised word after it, or a title with capitalised words; then, in the same text, the parts alone."""
+    """Titles with names after them; known given names with a name after them; in the same text, all these names alone.
+
+    A capitalised word inside a sentence right before a name that is only a surname is taken as a given name.
+    """
     if not _TWO.search(text):
         return []
-    out, known = [], {}
+    found: dict[int, Mention] = {}
+    roles: dict[str, str] = {}
     words = [m for m in _TITLED.finditer(text) if m[0][0].isupper()]
+    beside = lambda a, b: text[a.end() : b.start()] == " "
+
+    def add(w: re.Match, role: str) -> None:
+        canon = w[0].lower()
+        found[w.start()] = Mention(w.start(), w.end(), "name", canon, role)
+        if roles.get(canon, "s") == "s":
+            roles[canon] = role
+
     k = 0
     while k < len(words):
         m = words[k]
         k += 1
-        beside = lambda a, b: text[a.end() : b.start()] == " "
         run = []
         if m[0] in _TITLES:
             last = m.end() + (text[m.end() : m.end() + 1] == ".")
             j = k
-            while j < len(words) and len(run) < 3 and _capital(words[j][0]) and text[last : words[j].start()] == " ":
+            while j < len(words) and len(run) < 3 and (_as_name(words[j][0]) or words[j][0].isupper() and len(words[j][0]) > 2) and text[last : words[j].start()] == " ":
                 run.append(words[j])
                 last = words[j].end()
                 j += 1
-        elif m[0] in _GIVEN and k < len(words) and words[k][0] != m[0] and beside(m, words[k]) and _capital(words[k][0]):
+        elif _as_name(m[0]) in _GIVEN and k < len(words) and words[k][0] != m[0] and beside(m, words[k]) and (_as_name(words[k][0]) or words[k][0].isupper() and len(words[k][0]) > 3):
             run = [m, words[k]]
             j = k + 1
-            if j < len(words) and words[k][0] in _GIVEN and beside(words[k], words[j]) and _capital(words[j][0]):
+            if j < len(words) and _as_name(words[k][0]) in _GIVEN and beside(words[k], words[j]) and _as_name(words[j][0]):
                 run.append(words[j])
                 j += 1
         if not run:
             continue
         k = j
-        gender = next((_GIVEN[w[0]][1] for w in run if w[0] in _GIVEN), "f" if m[0] in ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа") else "m")
+        given = [_GIVEN[n][1] for w in run if (n := _as_name(w[0])) in _GIVEN]
+        gender = given[0] if given else "f" if m[0] in _FEMALE_TITLES else "m"
         for i, w in enumerate(run):
-            given = w[0] in _GIVEN or (len(run) > 1 and i < len(run) - 1)
-            kind = f"name_{_GIVEN[w[0]][1] if w[0] in _GIVEN else gender}" if given else "name_s"
-            out.append(Mention(w.start(), w.end(), kind, w[0].lower()))
-            known[w[0]] = kind
-    if known:
-        have = {m.start for m in out}
-        out += [Mention(w.start(), w.end(), known[w[0]], w[0].lower()) for w in words if w[0] in known and w.start() not in have and (known[w[0]] == "name_s" or w[0] in _GIVEN)]
-    return out
+            n = _as_name(w[0])
+            add(w, _GIVEN[n][1] if n in _GIVEN and (len(run) == 1 or i < len(run) - 1) else gender if i < len(run) - 1 else "s")
+    if not roles:
+        return []
+    for w in words:
+        if w.start() not in found and w[0].lower() in roles and (_capital(w[0]) or w[0].isupper()) and w[0] not in _TITLES:
+            add(w, roles[w[0].lower()])
+    for a, b in zip(words, words[1:]):
+        inside = text[: a.start()].rstrip(" ")[-1:]
+        if a.start() not in found and b.start() in found and roles[b[0].lower()] == "s" and beside(a, b) and _capital(a[0]) and a[0] not in _TITLES and (inside.isalnum() or inside in ",;"):
+            add(a, _GIVEN[a[0]][1] if a[0] in _GIVEN else "m")
+    return list(found.values())
+
+
+def _phone(mention: str) -> str:
+    """Country code and number; ten digits without a code are of the North American plan."""
+    digits = _only_digits(mention)
+    return f"+{digits}" if mention[0] == "+" else f"+1{digits}" if len(digits) == 10 else digits
 
 
 def detect(text: str) -> list[Mention]:
@@ -144,7 +182,7 @@ def detect(text: str) -> list[Mention]:
         for m in _PHONE.finditer("".join(rest)):
             canon = _only_digits(m[0])
             if 8 <= len(canon) <= 15:
-                found.append(Mention(m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + canon))
+                found.append(Mention(m.start(), m.end(), "phone", _phone(m[0])))
     found += _names(text)
     rank = {id(m): i for i, m in enumerate(found)}
     out, taken = [], []

@@ -1,20 +1,27 @@
 """PII: keyed surrogates for detected entities.
 
-1. Detect mentions in whole texts (pii_detect); a task hands on every distinct (kind, canonical form) once a chunk.
-2. Each distinct entity of the corpus gets a surrogate of its kind: an HMAC of key, kind, form and attempt draws
+1. Detect mentions in whole texts (pii_detect), once; the texts are written with them.
+2. One table of entities by class and normal form: all mentions of a name, whatever its role, layout or case, are one
+   entity, as are a phone number's national and international form.  A name's gender (or that it is a
+   surname) is settled by its mentions over the whole corpus: the role seen most, ties by letter.
+3. Each entity gets a surrogate of its class: an HMAC of key, class, form and attempt draws
    characters of the same class in the same places; checks (Luhn, IBAN) are made valid again, phone numbers keep
-   the country code, addresses end in a reserved domain, given names keep gender and script, surnames script.
+   the country code, addresses end in a reserved domain, names keep script and gender.
    Known names are permuted within their list by the key, so they stay distinct.
-3. Collision checks on the table of entities: surrogates that two entities share, or that equal another real
+4. Collision checks on the table of entities: surrogates that two entities of a class share, or that equal another real
    entity, are drawn again with the next attempt (the least entity of a clash keeps its surrogate) until none are
-   left.  So different entities stay different, and every mention of one entity, in any document and layout,
-   gets the same surrogate.
-4. Texts that hold mentions are written with them once (a few per cent of the corpus); entities join their
-   surrogates and texts are rewritten in the mention's own layout and case.  Other texts pass as they are,
-   unshuffled.
-
-Defined cases: null text stays null, empty text empty; a null id stays; repeated rows each come out, alike; an empty table gives
-no rows; other columns are ignored.
+   left.  Names of all roles are one class here, so a given name's surrogate is no other person's surname's.  Only
+   a name that a permuted list gives may be another real name, which has a surrogate of its own.  A class that has no
+   free form left (more entities than forms) is refused after ATTEMPTS rounds: a shared surrogate would join two persons.
+5. Entities join their surrogates and texts that hold mentions are rewritten in the mention's own layout and case; other
+   texts pass as they are, unshuffled.
+
+The join of mentions and surrogates broadcasts the entities while they are few (shingle_join.FEW_ROWS), else adaptive
+execution splits the mentions of an entity that a large part of the documents holds.
+
+Defined cases: null text stays null, empty text empty; texts of any length are searched whole; a null id stays; repeated rows
+each come out, alike; ties of a name's role go to the letter that comes first (f, m, s); an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import frugal, id_key, written
 from .pii_detect import NAMES, detect, luhn, mod97
+from .shingle_join import few
 
-KEY = b"veilcut demonstration key"
+#: The key of the registered query only; the operator has no default.
+DEMO_KEY = b"veilcut demonstration key"
 ATTEMPTS = 50
-_MENTIONS = "array<struct<kind:string,canon:string>>"
+_MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("canon", pa.string()), ("role", pa.string())])
+_MENTIONS = "array<struct<start:int,end:int,kind:string,canon:string,role:string>>"
 
 
 class Draw:
@@ -71,24 +81,32 @@ def _listed(key: bytes, script: str, cls: str) -> dict[str, str]:
     return _orders[at]
 
 
-def _name(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    cls, script = kind[-1], "cyrillic" if any("а" <= c <= "ё" for c in canon) else "latin"
-    listed = _listed(key, script, cls)
+def _script(canon: str) -> str:
+    return "cyrillic" if any("а" <= c <= "ё" for c in canon) else "latin"
+
+
+def is_listed(canon: str, role: str) -> bool:
+    return any(w.lower() == canon for w in NAMES[_script(canon), role])
+
+
+def _name(key: bytes, canon: str, role: str, attempt: int) -> str:
+    script = _script(canon)
+    listed = _listed(key, script, role)
     if canon in listed and attempt == 0:
         return listed[canon]
-    d = Draw(key, kind, canon, attempt)
+    d = Draw(key, "name", canon, attempt)
     vowels, others = ("аеиоу", "бвгдклмнпрст") if script == "cyrillic" else ("aeiou", "bcdfghklmnprstvw")
     n, begin = max(len(canon), 4), d.below(2)
     name = "".join((vowels if (i + begin) % 2 else others)[d.below(len(vowels if (i + begin) % 2 else others))] for i in range(n))
-    if cls == "f":
+    if role == "f":
         name = name[:-1] + ("а" if script == "cyrillic" else "a")
     return name
 
 
-def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
+def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0, role: str = "s") -> str:
     """The canonical form of the surrogate for an entity."""
-    if kind.startswith("name_"):
-        return _name(key, kind, canon, attempt)
+    if kind == "name":
+        return _name(key, canon, role, attempt)
     d = Draw(key, kind, canon, attempt)
     if kind == "email":
         local, _, domain = canon.partition("@")
@@ -127,93 +145,95 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
 def render(mention: str, kind: str, value: str) -> str:
     """The surrogate in the layout and case of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
-        chars = iter(value.lstrip("+"))
+        # a national form has the last digits of the number
+        chars = iter(value.lstrip("+")[-sum(map(str.isalnum, mention)) :])
         return "".join(next(chars) if c.isalnum() else c for c in mention)
-    if kind.startswith("name_"):
+    if kind == "name":
         return value.upper() if mention.isupper() else value.capitalize()
     return value.upper() if kind == "email" and mention.isupper() else value
 
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, canon, surrogate) of distinct entities (kind, canon), without collisions."""
+def entities_of(each: DataFrame) -> DataFrame:
+    """(kind, canon, role): the entities of mentions (kind, canon, role), the role that most mentions have."""
+    votes = each.groupBy("kind", "canon", "role").agg(F.count("*").alias("n"))
+    return votes.groupBy("kind", "canon").agg(F.min(F.struct((-F.col("n")).alias("n"), "role"))["role"].alias("role"))
+
+
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canon, surrogate) of distinct entities (kind, canon, role), without collisions."""
 
     @frugal
     def draw(batches):
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns))
-            rows = [(k, c, n, surrogate(key, k, c, n)) for k, c, n in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)] if rows else [], names=["kind", "canon", "attempt", "surrogate"]) if rows else b.slice(0, 0).append_column("surrogate", pa.array([], pa.string()))
+            rows = [(k, c, r, n or int(k == "name" and not is_listed(c, r))) for k, c, r, n in zip(*(c.to_pylist() for c in b.columns))]
+            rows = [(*r, surrogate(key, r[0], r[1], r[3], r[2])) for r in rows]
+            columns = zip(*rows) if rows else [[]] * 5
+            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, types)], ["kind", "canon", "role", "attempt", "surrogate"])
 
-    schema = "kind string, canon string, attempt long, surrogate string"
+    schema = "kind string, canon string, role string, attempt long, surrogate string"
     real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("real"))
-    drawn = entities.select("kind", "canon", F.lit(0).cast("long").alias("attempt")).mapInArrow(draw, schema)
+    drawn = entities.select("kind", "canon", "role", F.lit(0).cast("long").alias("attempt")).mapInArrow(draw, schema)
     for _ in range(ATTEMPTS):
         # a clash: another entity has the surrogate, or the surrogate is a real entity (but for listed names, which are permuted)
         owner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("own"))
         j = drawn.join(owner, ["kind", "surrogate"]).join(real, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("real")), "left")
-        taken = F.col("real").isNotNull() & ~(F.col("kind").startswith("name_") & (F.col("attempt") == 0))
-        j = j.select("kind", "canon", "attempt", "surrogate", ((F.col("own.canon") != F.col("canon")) | taken).alias("clash"))
+        taken = F.col("real").isNotNull() & ~((F.col("kind") == "name") & (F.col("attempt") == 0) & (F.col("surrogate") != F.col("canon")))
+        j = j.select("kind", "canon", "role", "attempt", "surrogate", ((F.col("own.canon") != F.col("canon")) | taken).alias("clash"))
         j = written(j, "op3-clashes", small=True)
         again = j.where("clash")
         if again.isEmpty():
             return j.select("kind", "canon", "surrogate")
         fixed = j.where("not clash").drop("clash")
-        drawn = fixed.unionByName(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema))
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
+        drawn = fixed.unionByName(again.select("kind", "canon", "role", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema))
+    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts: a class has more entities than forms")
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text with surrogates, n_mentions, n_entities, kinds (array of the kinds found)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def find(hits: bool):
-        @frugal
-        def run(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, 500):
-                    part = b.slice(lo, 500)
-                    got = [sorted({(m.kind, m.canon) for m in detect(t)}) if t else [] for t in part.column(1).to_pylist()]
-                    keep = pa.array([bool(g) == hits for g in got])
-                    part = part.filter(keep)
-                    if hits:
-                        kept = [[{"kind": k, "canon": c} for k, c in g] for g in got if g]
-                        part = part.append_column("mentions", pa.array(kept, pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string())]))))
-                    yield part
-
-        return run
-
-    held = rows.mapInArrow(find(True), f"doc_id long, text string, mentions {_MENTIONS}")
-    held = written(held.withColumn("at", id_key()).withColumn("th", F.xxhash64("text")), "op3-held")
-    each = held.select("at", "th", F.explode("mentions").alias("m")).select("at", "th", "m.kind", "m.canon")
-    named = assign(written(each.select("kind", "canon").distinct(), "op3-entities", small=True), key)
-    map_of = each.join(named, ["kind", "canon"]).groupBy("at", "th").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("names"))
+    @frugal
+    def find(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                got = [[m._asdict() for m in detect(t)] if t else [] for t in part.column(1).to_pylist()]
+                yield part.append_column("mentions", pa.array(got, pa.list_(_MENTION)))
+
+    every = written(rows.mapInArrow(find, f"doc_id long, text string, mentions {_MENTIONS}"), "op3-mentions")
+    held = every.where(F.size("mentions") > 0).withColumns({"at": id_key(), "th": F.xxhash64("text")})
+    each = held.select("at", "th", F.explode("mentions").alias("m")).select("at", "th", "m.kind", "m.canon", "m.role")
+    named = assign(written(entities_of(each), "op3-entities", small=True), key)
+    owned = each.select("at", "th", "kind", "canon").distinct()
+    map_of = owned.join(few(named), ["kind", "canon"]).groupBy("at", "th").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("names"))
 
     @frugal
     def rewrite(batches):
         for b in batches:
             ids, texts, counts, kinds, sizes = [], [], [], [], []
-            for doc_id, text, names in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, found, names in zip(*(c.to_pylist() for c in b.columns)):
                 table = {(n["kind"], n["canon"]): n["surrogate"] for n in names}
-                out, at, found = [], 0, detect(text)
+                out, at = [], 0
                 for m in found:
-                    out += [text[at : m.start], render(text[m.start : m.end], m.kind, table[m.kind, m.canon])]
-                    at = m.end
+                    out += [text[at : m["start"]], render(text[m["start"] : m["end"]], m["kind"], table[m["kind"], m["canon"]])]
+                    at = m["end"]
                 ids.append(doc_id)
                 texts.append("".join(out) + text[at:])
                 counts.append(len(found))
                 sizes.append(len(table))
-                kinds.append(sorted({m.kind for m in found}))
+                kinds.append(sorted({m["kind"] for m in found}))
             yield pa.record_batch(
                 [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(kinds, pa.list_(pa.string()))],
                 ["doc_id", "text", "n_mentions", "n_entities", "kinds"],
             )
 
     schema = "doc_id long, text string, n_mentions long, n_entities long, kinds array<string>"
-    changed = held.join(map_of, ["at", "th"]).select("doc_id", "text", "names").mapInArrow(rewrite, schema)
+    changed = held.join(map_of, ["at", "th"]).select("doc_id", "text", "mentions", "names").mapInArrow(rewrite, schema)
     zero = F.lit(0).cast("long")
-    same = rows.mapInArrow(find(False), "doc_id long, text string").select("doc_id", "text", zero.alias("n_mentions"), zero.alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    same = every.where(F.size("mentions") == 0).select("doc_id", "text", zero.alias("n_mentions"), zero.alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return same.unionByName(changed)
 
 
 def op3_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return replace_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), DEMO_KEY)
