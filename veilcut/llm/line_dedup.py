@@ -60,7 +60,7 @@ SIMILAR = 0.8
 FILTER_BITS = 1 << 28
 ROUNDS = 16
 PIECE = 1 << 17
-BLOCK_LINES = 2048
+BLOCK_LINES = 512
 BLOCK_CHARS = 1 << 21
 FEW = 64
 _ROLL = 0xA0761D6478BD642F
@@ -412,8 +412,11 @@ def line_components(key_docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, counts: bool = True) -> DataFrame:
     """The rows and columns of docs, the text without repeated lines; with counts also n_lines and n_removed.
 
-    length_col: a column that gets the new length in code points.
+    length_col: a column that gets the new length in code points.  With counts, columns of docs named n_lines or n_removed
+    give way to the counts.
     """
+    if counts:
+        docs = docs.drop("n_lines", "n_removed")
     key_docs = keyed(docs, id_col, text_col)
     at = written(occurrences(key_docs), "op5-occurrences")
     roots = line_components(key_docs, similar)
