@@ -242,6 +242,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEA
     """
     found = written(near_groups(docs, similarity, shingle, id_col, text_col), "op4-groups")
     first = found.groupBy("root").agg(F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "th")).alias("x"))
+    first = written(first, "op4-first", small=True)  # so that adaptive execution can split the rows of a large group in the join
     own = found.join(first, "root").groupBy("id", "th").agg(F.count("*").alias("n"), F.max((F.col("x.id") == F.col("id")) & (F.col("x.th") == F.col("th"))).alias("stays"))
     # rows to drop, and those of which one of several equal rows stays; all others come out as they are, without a shuffle
     touched = written(own.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th"), "stays"), "op4-touched", small=True)
