@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Writer.  Page ids are counted in 4,096 ranges of equal width (with payload bytes), and contiguous ranges form
-shards of about `shard_bytes`; the cut depends on the data only, not on partitions or sampling.  Every shard is
-one partition, sorted by page id; its task writes gzip members (one a record, no time stamp) to files that
+Writer.  Records are in the order of page id and payload digest.  A table of ids, digests and sizes (no payloads) is sorted and
+its sizes summed up in that order; every `shard_bytes` a shard ends.  So shards are alike in bytes however ids lie, an outlying id
+or many null ids notwithstanding, and the cut depends on the data only, not on partitions or sampling.  The driver holds one
+border a shard (16 bytes for `shard_bytes` of payload: 13 MB for 100 TB); pages find their shard by binary search.  Every shard is
+one partition, sorted; its task writes gzip members (one a record, no time stamp) to files that
 roll when `roll_bytes` compressed bytes are reached.  All headers and digests are made anew.  A file is written
 under a temporary name of its attempt and renamed when complete, so a retried or speculative attempt leaves the
 same bytes under the same name; the manifest (file, records, bytes, SHA-256) is a table written after all
@@ -17,7 +19,9 @@ Files go through pyarrow's file systems (file:, hdfs:, s3:, ...), so `path` must
 
 Defined cases: null html is an empty payload; a null page id sorts first, has no id header and is never the
 response of others with an id; rows that repeat the largest page id and its payload are all responses; a null url
-has no target header; an empty table writes a manifest without files; other columns are ignored.
+has no target header; an empty table writes a manifest without files; other columns are ignored, whatever their names; a
+payload of any length is one record, held once in a task.  Rows that share both id and payload are in one shard, so a shard
+is at most `shard_bytes` and the rows of one such pair.
 """
 
 from __future__ import annotations
@@ -30,15 +34,14 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, frugal, id_key, shared_dir, written
 
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 128 << 20
 ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
-RANGES = 4096
 LEVEL = 6
 _SCHEMA = "file string, shard int, roll int, records long, bytes long, sha256 string, first_id long, last_id long"
 
@@ -111,39 +114,46 @@ class _Roller:
         return row
 
 
-def _shards(keys: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(least id, width of a range, shard of each range) from at most RANGES sums."""
-    span = keys.agg(F.min("id"), F.max("id")).where("`min(id)` is not null").first()
-    if span is None:
-        return 0, 1, [0]
-    lo, hi = span
-    width = max(1, -(-(hi - lo + 1) // RANGES))
-    at = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
-    sums = dict(keys.groupBy(at.alias("k")).agg(F.sum("size")).collect())
-    shard, held, out = 0, 0, []
-    for k in range(RANGES):
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        held += sums.get(k) or 0
-        out.append(shard)
-    return lo, width, out
+def _borders(keys: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """The first (id, tie) of every shard; keys has id, tie and size."""
+    each = keys.groupBy("id", "tie").agg(F.sum("size").alias("size")).orderBy("id", "tie").withColumn("part", F.spark_partition_id())
+    each = written(each, "op6-order")
+    before, total = {}, 0
+    for part, size in sorted(each.groupBy("part").agg(F.sum("size")).collect()):  # a row a partition
+        before[part], total = total, total + size
+    if not before:
+        return []
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv)), F.col("part").cast("long"))
+    at = offset + F.sum("size").over(Window.partitionBy("part").orderBy("id", "tie")) - F.col("size")
+    first = each.withColumn("shard", F.floor(at / shard_bytes)).groupBy("shard").agg(F.min(F.struct("id", "tie")).alias("x"))
+    return sorted((r.id, r.tie) for r in first.select("x.id", "x.tie").collect())
+
+
+def _shard_of(borders: list[tuple[int, int]]) -> Column:
+    """The number of the shard of columns id and tie: borders at or before them, less one, by binary search."""
+    held = lambda k: F.split(F.lit(",".join(str(x[k]) for x in borders)), ",").cast("array<bigint>")  # noqa: E731  (folded to one constant)
+    ids, ties, steps = held(0), held(1), [1 << k for k in range(len(borders).bit_length() - 1, -1, -1)]
+
+    def step(n: Column, more: Column) -> Column:
+        i, t = F.get(ids, n + more - 1), F.get(ties, n + more - 1)
+        return F.when((i < F.col("id")) | (i == F.col("id")) & (t <= F.col("tie")), n + more).otherwise(n)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) - 1
 
 
 def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least: int = 0, level: int = LEVEL, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write pages as WARC files under path (a URI) and commit a manifest; returns the manifest."""
     rows = pages.select(id_key(id_col).alias("id"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    keys = written(rows.select("id", F.octet_length("payload").cast("long").alias("size"), F.unhex(F.sha1("payload")).alias("digest")), "op6-digests", small=True)
-    lo, width, shards = _shards(keys.where(F.col("id") != NULL_ID), shard_bytes)
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("tie", F.xxhash64("sha"))
+    keys = written(rows.select("id", "tie", F.octet_length("payload").cast("long").alias("size"), F.col("sha").alias("digest")), "op6-digests", small=True)
+    borders = _borders(keys, shard_bytes) or [(NULL_ID, NULL_ID)]
     twins = keys.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keys.join(twins, "digest").where(F.col("id") < F.col("refers")).select("id", "digest", "refers").distinct()
-    at = F.floor((F.col("id").cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
-    table = F.array(*(F.lit(s) for s in shards))
-    shard = F.when(F.col("id") == NULL_ID, 0).otherwise(F.element_at(table, at + 1))
+    again = keys.join(twins, "digest").where(F.col("id") < F.col("refers")).select("id", "tie", "digest", "refers").distinct()
     none = F.lit(None)
-    facts = again.select("id", none.cast("long").alias("page_id"), none.cast("string").alias("url"), "digest", "refers")
-    full = rows.select("id", "page_id", "url", F.col("payload").alias("digest"), none.cast("long").alias("refers"))
-    both = facts.withColumn("kind", F.lit(0)).unionByName(full.withColumn("kind", F.lit(1))).withColumn("shard", shard)
-    dealt = both.repartitionById(shards[-1] + 1, "shard").sortWithinPartitions("id", "kind", "url", "digest")
+    facts = again.select("id", "tie", none.cast("long").alias("page_id"), none.cast("string").alias("url"), "digest", "refers")
+    full = rows.select("id", "tie", "page_id", "url", F.col("payload").alias("digest"), none.cast("long").alias("refers"))
+    both = facts.withColumn("kind", F.lit(0)).unionByName(full.withColumn("kind", F.lit(1))).withColumn("shard", _shard_of(borders))
+    dealt = both.repartitionById(len(borders), "shard").sortWithinPartitions("id", "tie", "kind", "url", "digest")
 
     @frugal
     def run(batches):
@@ -174,15 +184,18 @@ def write_warc(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, roll
     return pages.sparkSession.read.schema(_SCHEMA).parquet(f"{path}/_manifest")
 
 
-def members(data: bytes):
-    """The gzip members of a file, one after the other."""
-    view = memoryview(data)
-    while len(view):
-        z = zlib.decompressobj(31)
-        yield z.decompress(view) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member is cut off")
-        view = view[len(view) - len(z.unused_data) :]
+def members(data: bytes, step: int = 1 << 14):
+    """The gzip members of a file, one after the other; read in small steps, as what follows a member is copied with each."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + step]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse(member: bytes) -> dict:
@@ -236,7 +249,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veilcut/op6-{uuid.uuid4().hex}"
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, shard_bytes=16 << 20)
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_warc(spark, path, payload=False).drop("url")
 
 
