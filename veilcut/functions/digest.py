@@ -95,6 +95,13 @@ class Stream:
         half = lambda at: F.conv(F.hex(F.substring(self.block(i), 1 + 8 * k + at, 4)), 16, 10).cast("long")
         return (half(0) % n * ((1 << 32) % n) + half(4)) % n
 
+    def below_of(self, n: Column) -> Column:
+        """The next word modulo a column n, 1 <= n < 2**31."""
+        i, k = divmod(self.at, 4)
+        self.at += 1
+        half = lambda at: F.conv(F.hex(F.substring(self.block(i), 1 + 8 * k + at, 4)), 16, 10).cast("long")
+        return (half(0) % n * (F.lit(1 << 32) % n) + half(4)) % n
+
     def pick(self, words: tuple[str, ...]) -> Column:
         return F.element_at(F.array(*(F.lit(w) for w in words)), (self.below(len(words)) + 1).cast("int"))
 

@@ -24,20 +24,53 @@ class Limits:
     nullable: bool = True
     unique: bool = False
     role: str = "full"
-    numeric: bool = False
+    kind: str = "string"
+
+    @property
+    def numeric(self) -> bool:
+        return self.kind.split("(")[0] in ("int", "bigint", "decimal")
 
 
 def _fit(x: Column, limits: Limits) -> Column:
     return x if limits.max_len is None else F.substring(x, 1, limits.max_len)
 
 
+#: Fewer names than these that fit a column would make persons alike.
+LEAST_NAMES = 400
+
+
+def names_that_fit(limits: Limits) -> list[tuple[str, int]]:
+    """Of a full name: the given names that fit with a surname, each with how many (shortest first) surnames fit it."""
+    most = limits.exact_len or limits.max_len
+    by_length = sorted(SURNAME, key=lambda w: (len(w), w))
+    out = [(g, sum(len(g) + 1 + len(w) <= most for w in by_length)) for g in GIVEN]
+    return [(g, n) for g, n in out if n]
+
+
 def person_name(h: Column, x: Column, limits: Limits) -> Column:
+    """A name of the lists that fits the column whole; columns for fewer than LEAST_NAMES full names are refused by `room`."""
     s = Stream(h)
-    if limits.role == "given":
-        return _fit(s.pick(GIVEN), limits)
-    if limits.role == "family":
-        return _fit(s.pick(SURNAME), limits)
-    return _fit(F.concat_ws(" ", s.pick(GIVEN), s.pick(SURNAME)), limits)
+    most = limits.max_len
+    if limits.role in ("given", "family"):
+        words = GIVEN if limits.role == "given" else SURNAME
+        return s.pick(tuple(w for w in words if most is None or len(w) <= most) or (words[0][:most],))
+    if most is None or most >= max(map(len, GIVEN)) + 1 + max(map(len, SURNAME)):
+        return F.concat_ws(" ", s.pick(GIVEN), s.pick(SURNAME))
+    fit = names_that_fit(limits)
+    at = (s.below(len(fit)) + 1).cast("int")
+    given, count = (F.element_at(F.array(*(F.lit(f[k]) for f in fit)), at) for k in (0, 1))
+    surname = F.element_at(F.array(*(F.lit(w) for w in sorted(SURNAME, key=lambda w: (len(w), w)))), (s.below_of(count.cast("long")) + 1).cast("int"))
+    return F.concat_ws(" ", given, surname)
+
+
+def room(masker: str, limits: Limits) -> str | None:
+    """Why a masker has no room in a column, or None."""
+    if masker == "person_name" and limits.max_len is not None and not limits.labels:
+        if limits.role == "full" and sum(n for _, n in names_that_fit(limits)) < LEAST_NAMES:
+            return f"fewer than {LEAST_NAMES} names fit"
+        if limits.role != "full" and not any(len(w) <= limits.max_len for w in (GIVEN if limits.role == "given" else SURNAME)):
+            return "no name fits"
+    return None
 
 
 def email(h: Column, x: Column, limits: Limits) -> Column:
@@ -75,7 +108,13 @@ def geo(h: Column, x: Column, limits: Limits) -> Column:
 
 
 def person_date(h: Column, x: Column, limits: Limits) -> Column:
-    return F.date_add(F.lit("1940-01-01").cast("date"), Stream(h).below(25_568).cast("int")).cast("string")
+    """A day from 1940 to 2009; with a time of day in timestamps."""
+    s = Stream(h)
+    day = F.date_add(F.lit("1940-01-01").cast("date"), s.below(25_568).cast("int")).cast("string")
+    if not limits.kind.startswith("timestamp"):
+        return day
+    at = s.below(86_400)
+    return F.concat(day, F.format_string(" %02d:%02d:%02d", F.floor(at / 3600), F.floor(at / 60) % 60, at % 60))
 
 
 def national_id(h: Column, x: Column, limits: Limits) -> Column:
@@ -149,13 +188,15 @@ def free_text(h: Column, x: Column, limits: Limits, most: int = 4096) -> Column:
 
 
 def special_category(h: Column, x: Column, limits: Limits) -> Column:
-    if limits.labels:
-        return F.lit(limits.labels[0])
-    return F.lit(None).cast("string") if limits.nullable else F.lit("")
+    return F.lit(limits.labels[0]) if limits.labels else null_value(h, x, limits)
+
+
+#: What stands for nothing in a NOT NULL column, by type; '' for others.
+ZERO = {"boolean": "false", "tinyint": "0", "smallint": "0", "int": "0", "bigint": "0", "decimal": "0", "float": "0", "double": "0", "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00", "timestamp_ntz": "1970-01-01 00:00:00"}
 
 
 def null_value(h: Column, x: Column, limits: Limits) -> Column:
-    return F.lit(None).cast("string") if limits.nullable else F.lit("")
+    return F.lit(None).cast("string") if limits.nullable else F.lit(ZERO.get(limits.kind.split("(")[0], ""))
 
 
 def derived_text(h: Column, x: Column, limits: Limits) -> Column:
@@ -199,6 +240,28 @@ for _name, _category, _generator, _domain in (
     register(_name, _category, _generator, _domain)
 
 
+#: Types besides text that a masker's values can be written to.
+WRITES = {
+    "phone": ("bigint", "decimal"), "phone_unique": ("bigint", "decimal"), "geo": ("double", "float", "decimal"), "person_date": ("date", "timestamp", "timestamp_ntz"),
+    "national_id": ("int", "bigint", "decimal"), "financial_account": ("bigint", "decimal"), "credential": ("binary",), "null": tuple(ZERO) + ("binary",), "special_category": tuple(ZERO) + ("binary",),
+}
+TEXT = ("string", "varchar", "char")
+
+
+def writable(masker: str, kind: str) -> bool:
+    """Whether every value of a masker can be written to a column of a type (of an array, its elements)."""
+    while kind.startswith("array<"):
+        kind = kind[6:-1]
+    base = kind.split("(")[0]
+    if base in TEXT:
+        return True
+    if base != "decimal" or base not in WRITES.get(masker, ()):
+        return base in WRITES.get(masker, ())
+    precision, scale = (int(x) for x in kind[8:-1].split(","))
+    digits = {"phone": 11, "phone_unique": 14, "geo": 2, "national_id": 9, "financial_account": 16}.get(masker, 1)
+    return precision - scale >= digits
+
+
 def required(n: int) -> int:
     """Least size of a masker's set of outputs for n distinct values that must stay distinct (odds of a clash of one in a million), at most int64."""
     return min(n * n * 500_000, 2**63 - 1)

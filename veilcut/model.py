@@ -86,6 +86,7 @@ class Table:
     indexes: tuple[Index, ...] = ()
     rows: int | None = None
     framework: bool = False
+    sequences: tuple[str, ...] = ()  # columns that a sequence fills
 
     def column(self, name: str) -> Column:
         return next(c for c in self.columns if c.name == name)
@@ -135,6 +136,8 @@ class Decision:
     unmasked: bool = False
     unique: bool = False
     role: str = "full"
+    leaves: tuple[tuple[str, str], ...] | None = None  # of a document: (key, category); () empties it
+    fingerprint: str = ""  # of the column, in decisions read from a record
 
     @property
     def masked(self) -> bool:
@@ -166,6 +169,7 @@ class Request:
     skip: set[str] = field(default_factory=set)
     unmask: set[tuple[str, str]] = field(default_factory=set)
     mask: dict[tuple[str, str], str] = field(default_factory=dict)
+    strict: bool = False  # refuse drift against an earlier record
 
     def check(self) -> None:
         wrong = [k for k in ("take", "cap", "depth", "row_budget", "byte_budget") if getattr(self, k) <= 0]

@@ -4,28 +4,37 @@ from __future__ import annotations
 
 import re
 
-from ..functions.validators import EMAIL, IPV4, SSN
+from ..functions.domain import tokens
+from ..functions.kinds import kind_of
 from ..model import Catalog, Decision, Step
 
 #: Functions that defaults, checks and generated columns may call.
 KNOWN_CALLS = frozenset("now current_timestamp current_date lower upper length char_length coalesce nullif concat substring trim date_trunc round abs least greatest uuid nextval md5 cast any in and or not array".split())
-_LITERAL = re.compile(r"'((?:[^']|'')*)'")
-_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(")
 
 
 def literals(text: str) -> list[str]:
-    return [m.replace("''", "'") for m in _LITERAL.findall(text)]
+    """The string constants of an expression."""
+    return [v for k, v in tokens(text) if k == "string"]
+
+
+def calls(text: str) -> list[str]:
+    """The names before an opening parenthesis."""
+    found = tokens(text)
+    return [v for (k, v), after in zip(found, found[1:]) if k in ("word", "name") and after == ("sign", "(")]
 
 
 def literal_hits(catalog: Catalog) -> list[tuple[str, str, str, str]]:
-    """(table, column, place, kind) of defaults, checks, labels and generated expressions that hold personal data; no values."""
-    shapes = (("email", EMAIL), ("ip", IPV4), ("ssn", SSN))
+    """(table, column, place, kind) of defaults, checks, labels and generated expressions that hold personal data; no values.
+
+    URLs and UUIDs are no sign of a person here, nor are the addresses that stand for no host.
+    """
     out = []
     for t in catalog.tables:
         for c in t.columns:
             texts = [("default", x) for x in literals(c.default or "")] + [("check", x) for k in c.checks for x in literals(k)]
             texts += [("label", x) for x in c.labels] + [("generated", x) for x in literals(c.generated or "")]
-            out += [(t.name, c.name, place, kind) for place, x in texts for kind, p in shapes if re.match(p, x)]
+            found = [(place, kind_of(x)) for place, x in texts if x not in ("127.0.0.1", "0.0.0.0", "::1", "::")]
+            out += [(t.name, c.name, place, kind) for place, kind in found if kind not in (None, "online_id")]
     return sorted(set(out))
 
 
@@ -35,8 +44,7 @@ def unknown_calls(catalog: Catalog) -> list[tuple[str, str, str]]:
     for t in catalog.tables:
         for c in t.columns:
             for text in (c.default or "", c.generated or "", *c.checks):
-                bare = _LITERAL.sub("''", text)
-                out += [(t.name, c.name, f) for f in _CALL.findall(bare) if f.lower() not in KNOWN_CALLS]
+                out += [(t.name, c.name, f) for f in calls(text) if f.lower() not in KNOWN_CALLS]
     return sorted(set(out))
 
 

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.validators import VALIDATORS
+from ..functions.validators import ODD, VALIDATORS, candidates
 from ..model import Catalog, ForeignKey, Step
 
 #: Order of checks, and the exit code of the first that fails.
-CHECKS = (("residual", 8), ("second_net", 8), ("catalog", 8), ("fk", 9), ("row_count", 10), ("sequences", 10), ("unmasked_identical", 11))
+CHECKS = (("residual", 8), ("second_net", 8), ("catalog", 8), ("fk", 9), ("row_count", 10), ("sequences", 10), ("unmasked_identical", 11), ("snapshot", 11))
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -69,29 +69,97 @@ def density(df: DataFrame, column: str) -> DataFrame:
     return d.select("n", "n_distinct", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), ((F.col("n_distinct") >= 3) & (F.col("high") - F.col("low") + 1 <= 2 * F.col("n_distinct"))).alias("dense"))
 
 
+#: Words that are values of columns about a person, and so no mere enumeration.
+GENDERS = ("m", "f", "male", "female", "man", "woman", "nonbinary", "divers", "diverse")
+
+
 def enumeration_shape(df: DataFrame, column: str, token: str = r"^[A-Za-z0-9_. -]{1,40}$") -> DataFrame:
-    """(n, n_distinct, least, enumeration): at least ten values, at most twenty different, each twice or more, all tokens that aren't numbers."""
+    """(n, n_distinct, least, enumeration): at least ten values, at most twenty different, each twice or more, all tokens that aren't numbers, dates, genders or names."""
     g = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("c"))
-    d = g.agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.min("c").alias("least"), F.bool_and(F.col("v").rlike(token) & ~F.col("v").rlike("^[0-9]+$")).alias("tokens"))
+    personal = F.lower("v").isin(*GENDERS) | VALIDATORS["name"][0](F.col("v"))
+    plain = F.col("v").rlike(token) & ~F.col("v").rlike("^[0-9]+$") & ~F.col("v").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}|^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$")
+    d = g.agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"), F.min("c").alias("least"), F.bool_and(plain & ~personal).alias("tokens"))
     return d.select("n", "n_distinct", "least", (F.col("tokens") & (F.col("n") >= 10) & (F.col("n_distinct") <= 20) & (F.col("least") >= 2)).alias("enumeration"))
 
 
+def sample_distinct(df: DataFrame, column: str) -> DataFrame:
+    """(n, n_distinct, all_distinct) of the values that aren't null."""
+    g = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"), F.count("*").alias("n_distinct"))
+    return g.withColumn("all_distinct", F.col("n") == F.col("n_distinct"))
+
+
+def spellings(x: Column) -> Column:
+    """The value in all its spellings, for values that show a sign of another one; else the value alone."""
+    return F.when(x.rlike(ODD), candidates(x)).otherwise(F.array(x))
+
+
+def _in_any(column: str, valid) -> Column:
+    return F.exists(column, lambda e: F.coalesce(valid(e), F.lit(False)))
+
+
+def values_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, x): the values of columns, one below the other, elements of arrays one by one; nulls left out."""
+    nested = [c for c in columns if df.schema[c].dataType.typeName() == "array"]
+    flat = [F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("x")) for c in columns if c not in nested]
+    flat += [F.struct(F.lit(c).alias("c"), F.lit(None).cast("string").alias("x")) for c in columns]  # so that every column has a row
+    whole = df.select(F.explode(F.array(*flat)).alias("y")).select("y.*")
+    for c in nested:
+        whole = whole.unionByName(df.select(F.lit(c).alias("c"), F.explode(F.col(f"`{c}`").cast("array<string>")).alias("x")))
+    return whole
+
+
 def match_counts(df: DataFrame, columns: list[str], validators: list[str] | None = None) -> DataFrame:
-    """(column_name, validator, n_values, n_hits) in one pass over the table, combined before the shuffle."""
+    """(column_name, validator, n_values, n_hits, n_distinct) of values in any spelling; one scan, combined before the shuffle.
+
+    n_distinct, an estimate that is exact for the few values that matter, is counted for the validators of names and words only.
+    """
     names = validators or list(VALIDATORS)
-    found = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).agg(
-        *(F.count(c).alias(f"n|{c}") for c in columns), *(F.count_if(VALIDATORS[v][0](F.col(c))).alias(f"{v}|{c}") for c in columns for v in names)
+    x = values_of(df, columns).select("c", "x", spellings(F.col("x")).alias("s"))
+    hits = x.select("c", "x", *(F.coalesce(_in_any("s", VALIDATORS[v][0]), F.lit(False)).alias(f"h_{v}") for v in names))
+    found = hits.groupBy("c").agg(
+        F.count("x").alias("n"),
+        *(F.count_if(f"h_{v}").alias(f"n_{v}") for v in names),
+        *(F.approx_count_distinct(F.when(F.col(f"h_{v}"), F.lower("x"))).alias(f"d_{v}") for v in names if v in DICTIONARY),
     )
-    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(v).alias("validator"), F.col(f"n|{c}").alias("n_values"), F.col(f"{v}|{c}").alias("n_hits")) for c in columns for v in names))
-    return found.select(F.explode(rows).alias("x")).select("x.*")
+    rows = F.array(*(F.struct(F.lit(v).alias("validator"), F.col("n").alias("n_values"), F.col(f"n_{v}").alias("n_hits"), (F.col(f"d_{v}") if v in DICTIONARY else F.lit(None).cast("long")).alias("n_distinct")) for v in names))
+    return found.select(F.col("c").alias("column_name"), F.explode(rows).alias("y")).select("column_name", "y.*")
+
 
+#: Validators whose single hit in a column that should hold nothing is proof; dictionary validators, which need several different values.
+PROOF = ("email", "card_shape", "iban", "ssn", "dni", "nir", "codice_fiscale", "phone", "mac", "ip")
+DICTIONARY = ("name_shape", "prose_name", "special")
+RATIO = ("secret", "nino", "pesel", "bsn", "cpf", "aadhaar")
 
-def second_net(df: DataFrame, columns: list[str], ratio: float = 0.8) -> DataFrame:
-    """Validator hits in columns that should hold no personal data, with the verdict: a strong hit, or a ratio of weak ones."""
-    strong = [v for v, (_, _, s) in VALIDATORS.items() if s]
-    m = match_counts(df, columns)
-    fails = F.when(F.col("validator").isin(*strong), F.col("n_hits") > 0).otherwise((F.col("n_values") >= 3) & (F.col("n_hits") >= ratio * F.col("n_values")))
-    return m.withColumn("fails", fails)
+
+def second_net(df: DataFrame, columns: list[str], ratio: float = 0.8, sure: float = 0.97) -> DataFrame:
+    """Validator hits in columns that weren't masked, with the verdict.
+
+    One hit of a PROOF validator fails.  DICTIONARY validators need a share `ratio` of the values and three different ones; RATIO
+    validators the share, or all of fewer than three values.  Bare digits that look like national ids need the share `sure`, and
+    whole-number columns with dense values (sequences) are exempt.
+    """
+    kind = {c: df.schema[c].dataType.typeName() for c in columns}
+    numbers = [c for c in columns if kind[c] in ("integer", "long", "short", "decimal")]
+    texts = [c for c in columns if kind[c] in ("string", "varchar", "char", "array")]
+    out = match_counts(df, texts, [*PROOF, *DICTIONARY, *RATIO, "national_digits"]) if texts else None
+    if numbers:
+        counted = match_counts(df, numbers, ["card_shape", "national_digits"])
+        # only for the few columns that look like ids it matters whether they are dense
+        suspects = {r.column_name for r in counted.where((F.col("n_values") >= 3) & (F.col("n_hits") >= sure * F.col("n_values"))).collect()}
+        exempt = [c for c in suspects if density(df, c).first().dense]
+        counted = counted.where(~F.col("column_name").isin(exempt)) if exempt else counted
+        out = counted if out is None else out.unionByName(counted)
+    if out is None:
+        return None
+    share = F.col("n_hits") / F.greatest(F.col("n_values"), F.lit(1))
+    v = F.col("validator")
+    fails = (
+        F.when(v.isin(*PROOF), F.when(F.col("column_name").isin(*numbers), (share >= sure) & (F.col("n_values") >= 3)).otherwise(F.col("n_hits") > 0))
+        .when(v.isin(*DICTIONARY), (share >= ratio) & (F.col("n_distinct") >= 3))
+        .when(v == "national_digits", (share >= sure) & (F.col("n_values") >= 3))
+        .otherwise((F.col("n_hits") > 0) & ((share >= ratio) & (F.col("n_values") >= 3) | (F.col("n_hits") == F.col("n_values"))))
+    )
+    return out.withColumn("fails", fails)
 
 
 def residual(source: DataFrame, target: DataFrame, column: str, canonical) -> DataFrame:

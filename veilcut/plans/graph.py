@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 
 from ..model import Catalog, Confidence, Decision, ForeignKey, Mode
@@ -75,10 +76,21 @@ def load_order(catalog: Catalog) -> list[tuple[int, str, int]]:
     for members in strong_components(names, edges):
         for m in members:
             group[m] = members[0]
-    needs = {g: {group[p] for c, p in edges if group[c] == g and group[p] != g} for g in set(group.values())}
+    needs: dict[str, set[str]] = {g: set() for g in set(group.values())}
+    follows: dict[str, set[str]] = {g: set() for g in needs}
+    for c, p in edges:
+        if group[c] != group[p]:
+            needs[group[c]].add(group[p])
+            follows[group[p]].add(group[c])
+    ready = [g for g, n in needs.items() if not n]
+    heapq.heapify(ready)
     order: list[str] = []
-    while len(order) < len(needs):
-        order.append(min(g for g in needs if g not in order and needs[g] <= set(order)))
+    while ready:
+        order.append(heapq.heappop(ready))
+        for g in follows[order[-1]]:
+            needs[g].discard(order[-1])
+            if not needs[g]:
+                heapq.heappush(ready, g)
     out, at = [], 0
     for k, g in enumerate(order):
         for n in sorted(x for x in names if group[x] == g):
@@ -162,7 +174,7 @@ def resolve_type_value(catalog: Catalog, value: str) -> str | None:
     """The table a type value names: class names are underscored and pluralised, the last part alone is tried, then the value in lower case."""
     snake = lambda s: re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", s).lower()
     tables = {t.name for t in catalog.tables}
-    whole = snake(value.replace("::", "_").replace(".", "_").replace("/", "_"))
+    whole = snake(re.sub(r"::|[./]", "_", value)).replace("__", "_")
     last = snake(re.split(r"::|[./]", value)[-1])
     for guess in (plural(whole), whole, plural(last), last, value.lower()):
         if guess in tables:
@@ -170,14 +182,14 @@ def resolve_type_value(catalog: Catalog, value: str) -> str | None:
     return None
 
 
-def polymorphic_edges(catalog: Catalog, pair: tuple[str, str, str], values: list[str], most: int = 50) -> list[ForeignKey]:
-    """Virtual parent edges of a typed pair; more than `most` distinct values say it isn't one."""
+def polymorphic_edges(catalog: Catalog, pair: tuple[str, str, str], values: list[str] | dict[str, str], most: int = 50) -> list[ForeignKey]:
+    """Virtual parent edges of a typed pair; more than `most` distinct values say it isn't one.  values: type values, or what names each."""
     table, kind, ident = pair
     if len(values) > most:
         return []
     out = []
     for v in sorted(values):
-        parent = resolve_type_value(catalog, v)
+        parent = resolve_type_value(catalog, values[v] if isinstance(values, dict) else v)
         key = catalog.table(parent).primary_key if parent else ()
         if len(key) == 1:
             out.append(ForeignKey(f"{table}_{ident}_{parent}_virtual", table, (ident,), parent, key, virtual=True, discriminator=(kind, v)))
