@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 BLOB_SCHEMA = "part int, kind int, blob binary"
 #: Words are runs of characters other than these six bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -30,20 +31,6 @@ CHUNK = 1 << 20
 U = np.uint64
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="veilcut-")
-        base = _own[app]
-    return base.rstrip("/")
-
-
 def written(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame:
     """Write df as a zstd Parquet table in the shared folder and read it again: lineage ends here.
 
