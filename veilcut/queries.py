@@ -633,18 +633,18 @@ def _tokens(spark, d):
     return read(spark, d, "documents").select("doc_id", F.explode(words).alias("w"))
 
 
-def _detect(name: str, sql: str):
+def _detect(name: str, sql: str, tokens: str = _TOKENS):
     def run(spark, d):
         return _tokens(spark, d).where(v.VALIDATORS[name][0](F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n_hits"))
 
-    query(f"SELECT doc_id, count(*) AS n_hits FROM {_TOKENS} WHERE {sql} GROUP BY doc_id", f"detect_{name}")(run)
+    query(f"SELECT doc_id, count(*) AS n_hits FROM {tokens} WHERE {sql} GROUP BY doc_id", f"detect_{name}")(run)
 
 
 _detect("email", r"regexp_full_match(w, '[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+')")
 _detect("ip", r"regexp_full_match(w, '([0-9]{1,3}[.]){3}[0-9]{1,3}') AND list_bool_and(list_transform(string_split(w, '.'), lambda p: p::INTEGER <= 255))")
 _LUHN = "list_sum(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN (length(w) - i) % 2 = 0 THEN substr(w, i, 1)::INTEGER ELSE 2 * substr(w, i, 1)::INTEGER - CASE WHEN substr(w, i, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 _ISSUER = "list_bool_or(list_transform([" + ", ".join(f"{{'lo': '{lo}', 'hi': '{hi}'}}" for lo, hi, _ in v.CARDS) + "], lambda r: substr(w, 1, length(r.lo)) BETWEEN r.lo AND r.hi))"
-_detect("card", f"regexp_full_match(w, '[0-9]{{12,19}}') AND {_ISSUER} AND CASE WHEN regexp_full_match(w, '[0-9]{{12,19}}') THEN {_LUHN} ELSE false END")
+_detect("card", f"regexp_full_match(w, '[0-9]{{12,19}}') AND {_ISSUER} AND CASE WHEN regexp_full_match(w, '[0-9]{{12,19}}') THEN {_LUHN} ELSE false END", f"(SELECT doc_id, regexp_replace(w, '[ ./\u00a0-]', '', 'g') AS w FROM {_TOKENS})")
 
 
 # values of twelve kinds made of the customers' keys, so that every validator has hits and misses
