@@ -91,9 +91,12 @@ def walk(catalog: Catalog, frames: dict[str, DataFrame], request: Request, looku
     keys_of: dict[str, tuple[str, ...]] = {}
     problems: list[str] = []
 
+    def resolve(name: str) -> tuple[str, ...]:
+        return identities.resolve(catalog, catalog.table(name), frames[name], request.keys.get(name)).columns
+
     def key(name: str) -> tuple[str, ...]:
         if name not in keys_of:
-            keys_of[name] = identities.resolve(catalog, catalog.table(name), frames[name], request.keys.get(name)).columns
+            keys_of[name] = probes[name].result() if name in probes else resolve(name)
         return keys_of[name]
 
     steps: dict[str, Step] = {}
@@ -104,8 +107,9 @@ def walk(catalog: Catalog, frames: dict[str, DataFrame], request: Request, looku
         step = steps.get(name)
         return kept(keys if step is None else keys.join(step.keys, list(key(name)), "left_anti"), name)
 
-    queue = deque([(request.root, seed(frames[request.root], key(request.root), request.take, request.where), Mode.CHILD_OK, 0, "root")])
     with ThreadPoolExecutor(8) as jobs:
+        probes = {n: jobs.submit(resolve, n) for n in request.keys if n in {t.name for t in catalog.tables}}  # keys that were given are probed meanwhile
+        queue = deque([(request.root, seed(frames[request.root], key(request.root), request.take, request.where), Mode.CHILD_OK, 0, "root")])
         while queue:
             batch = [queue.popleft()]
             while queue and queue[0][0] not in {b[0] for b in batch}:
