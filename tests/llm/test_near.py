@@ -1,11 +1,13 @@
 """SimHash and line dedup against brute force."""
 
 import collections
+import hashlib
 import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from veilcut.llm import line_dedup, shingle_join, simhash
 from veilcut.llm.components import components
@@ -221,3 +223,18 @@ def test_keep_one_goes_by_component_not_by_least_id(spark):
     # two different texts with one id both stay; of the two linked texts without an id one stays, and the unlinked one
     assert sorted(t.split()[0] for d, t in kept if d == 1) == ["a0", "b0"] and not [d for d, _ in kept if d == 2]
     assert sorted(t.split()[0] for d, t in kept if d is None) == ["n0", "z0"] and len(kept) == 4
+
+
+def test_long_texts_and_clashing_names(spark):
+    """Very long texts are taken whole; columns of docs named like helpers or counts change nothing."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    lines = "\n".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short one"), (4, lines), (5, lines)], "doc_id long, text string")
+    for c in ("th", "fp", "component_id", "root", "n_lines", "n_removed", "line", "bucket"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[4].n_lines == out[5].n_lines == 20_000 and out[5].n_removed == 20_000 and out[5].text == "" and out[3].root == "clash" and out[1].n_removed + out[2].n_removed == 1

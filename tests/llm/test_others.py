@@ -8,8 +8,9 @@ from conftest import same
 from pyspark.sql import functions as F
 
 from veilcut.llm import decontaminate, html_extract, mixing, pii_detect, quality, surrogates, warc
-from veilcut.llm.common import shared_dir, text_buffer
+from veilcut.llm.common import text_buffer
 from veilcut.llm.dom import blocks
+from veilcut.sources.storage import shared_dir
 
 # ---------------------------------------------------------------- pages
 
@@ -389,3 +390,24 @@ def test_pipeline_stages(spark, data):
     assert sizes[0] > sizes[1] == sizes[2] >= sizes[3] >= sizes[4] == sizes[5] > 0
     a = sorted(map(tuple, cp.run(spark, data).collect()))
     assert a == sorted(map(tuple, docs.select("doc_id", "size", "source_size", "target", "taken").collect()))
+
+
+def test_pipeline_edges(spark, data):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, extra columns and an empty table, through all stages."""
+    import corpus_pipeline as cp
+    from veilcut.llm.common import written
+
+    good = lambda k: "\n".join(" ".join(f"{w}{'abcdefghij'[k % 10]}{'klmnopqrst'[i % 10]}" for w in ("river", "stone", "garden", "window", "market", "letter", "winter", "summer")) for i in range(k % 3 + 8))
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000 % 10]}{'abcdefghij'[i // 10000 % 10]}" for i in range(60_000))
+    rows = [(k, good(k), "en", "s") for k in range(12)] + [(None, good(30) + " null id", None, None), (3, good(3), "en", "s"), (3, good(3), "en", "s"), (50, None, "en", "s"), (51, "", None, "s"), (52, long, "en", "s"), (53, long, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumn("size", F.lit("clash")).withColumn("th", F.lit("clash"))
+    held = docs
+    for _, stage in cp.STAGES:
+        held = written(stage(spark, held, data))
+    got = sorted(str(r.doc_id) for r in held.collect())
+    assert held.columns == ["doc_id", "size", "source_size", "target", "taken"] and "50" not in got and "51" not in got and "52" in got
+    assert got.count("3") <= 1 and len(got) == len(set(got))
+    empty = docs.where("false")
+    for _, stage in cp.STAGES:
+        empty = written(stage(spark, empty, data))
+    assert empty.count() == 0

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ctypes
 import pickle
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir
+from ..sources.storage import table_path
 
 BLOB_SCHEMA = "part int, kind int, blob binary"
 #: Words are runs of characters other than these six bytes.
@@ -39,7 +38,7 @@ def written(df: DataFrame, name: str = "step", small: bool = False) -> DataFrame
     spark = df.sparkSession
     if small:
         df = df.coalesce(doc_parts(spark))
-    path = f"{shared_dir(spark)}/veilcut/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

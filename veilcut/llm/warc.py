@@ -37,7 +37,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, frugal, id_key, shared_dir, written
+from ..sources.storage import table_path
+from .common import NULL_ID, frugal, id_key, written
 
 SHARD_BYTES = 128 << 20
 ROLL_BYTES = 16 << 20
@@ -248,7 +249,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/veilcut/op6-{uuid.uuid4().hex}"
+    path = table_path(spark, "op6")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_warc(spark, path, payload=False).drop("url")
 
