@@ -24,7 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application in the shared folder."""
+    return f"{shared_dir(spark)}/veilcut/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/veilcut/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written on the way.  Results that still read them can't be used any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veilcut/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
