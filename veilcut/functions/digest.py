@@ -58,6 +58,11 @@ def py_digest(key: bytes, category: str, tag: str, canonical: str) -> bytes:
     return hmac.new(category_key(key, category), enc(tag) + enc(canonical), hashlib.sha256).digest()
 
 
+def constants(words: tuple[str, ...]) -> Column:
+    """A constant array of strings: one literal, which Catalyst splits once (a literal a word would be slow to build and long in generated code)."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
 class Bound:
     """A digest and its first block, both already computed (as columns of a table or variables of a lambda)."""
 
@@ -103,7 +108,7 @@ class Stream:
         return (half(0) % n * (F.lit(1 << 32) % n) + half(4)) % n
 
     def pick(self, words: tuple[str, ...]) -> Column:
-        return F.element_at(F.array(*(F.lit(w) for w in words)), (self.below(len(words)) + 1).cast("int"))
+        return F.element_at(constants(tuple(words)), (self.below(len(words)) + 1).cast("int"))
 
     def digits(self, n: int, no_zero_first: bool = True) -> Column:
         return F.concat(*(((self.below(9) + 1) if i == 0 and no_zero_first else self.below(10)).cast("string") for i in range(n)))

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .digest import constants
 from .words import GIVEN, SURNAME
 
 EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$"
@@ -161,10 +162,10 @@ _TURN = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 
 def aadhaar(x: Column) -> Column:
     d = bare(x)
-    table = F.array(*(F.lit(v) for row in _D5 for v in row))
+    table = constants(tuple(str(v) for row in _D5 for v in row)).cast("array<int>")
     power, c = list(range(10)), F.lit(0)
     for i in range(12):
-        moved = F.element_at(F.array(*(F.lit(v) for v in power)), _digit(d, 12 - i) + 1)
+        moved = F.element_at(constants(tuple(map(str, power))).cast("array<int>"), _digit(d, 12 - i) + 1)
         c = F.element_at(table, c * 10 + moved + 1)
         power = [_TURN[v] for v in power]
     shape = d.rlike("^[2-9][0-9]{11}$") & _varied(d)
@@ -177,7 +178,7 @@ def codice_fiscale(x: Column) -> Column:
     odd = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
     place = lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
     even = lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 65)
-    values = F.array(*(F.lit(v) for v in odd))
+    values = constants(tuple(map(str, odd))).cast("array<int>")
     total = F.lit(0)
     for i in range(1, 16):
         c = F.substring(s, i, 1)
@@ -213,7 +214,7 @@ _GIVEN, _SURNAME = (tuple(w.lower() for w in words) for words in (GIVEN, SURNAME
 
 
 def _in(words: tuple[str, ...]):
-    known = F.array(*map(F.lit, words))
+    known = constants(words)
     return lambda w: F.array_contains(known, w)
 
 
@@ -242,7 +243,7 @@ def contains_name(x: Column) -> Column:
     """A known name of three letters or more as a word, or with a possessive ending."""
     words = F.split(F.lower(x), r"[^\p{L}']+")
     plain = F.transform(words, lambda w: F.regexp_replace(w, "('s|')$", ""))
-    known = F.array(*(F.lit(w) for w in dict.fromkeys(_GIVEN + _SURNAME) if len(w) >= 3))
+    known = constants(tuple(w for w in dict.fromkeys(_GIVEN + _SURNAME) if len(w) >= 3))
     return F.coalesce(F.arrays_overlap(words, known) | F.arrays_overlap(plain, known), F.lit(False))
 
 

@@ -109,12 +109,17 @@ def values_of(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def match_counts(df: DataFrame, columns: list[str], validators: list[str] | None = None) -> DataFrame:
+    """As counts_of, of the columns of a table."""
+    return counts_of(values_of(df, columns), validators)
+
+
+def counts_of(values: DataFrame, validators: list[str] | None = None) -> DataFrame:
     """(column_name, validator, n_values, n_hits, n_distinct) of values in any spelling; one scan, combined before the shuffle.
 
     n_distinct, an estimate that is exact for the few values that matter, is counted for the validators of names and words only.
     """
     names = validators or list(VALIDATORS)
-    x = values_of(df, columns).select("c", "x", spellings(F.col("x")).alias("s"))
+    x = values.select("c", "x", spellings(F.col("x")).alias("s"))
     hits = x.select("c", "x", *(F.coalesce(_in_any("s", VALIDATORS[v][0]), F.lit(False)).alias(f"h_{v}") for v in names))
     found = hits.groupBy("c").agg(
         F.count("x").alias("n"),
@@ -131,35 +136,55 @@ DICTIONARY = ("name_shape", "prose_name", "special")
 RATIO = ("secret", "nino", "pesel", "bsn", "cpf", "aadhaar")
 
 
-def second_net(df: DataFrame, columns: list[str], ratio: float = 0.8, sure: float = 0.97) -> DataFrame:
-    """Validator hits in columns that weren't masked, with the verdict.
+def second_net(df: DataFrame, columns: list[str], ratio: float = 0.8, sure: float = 0.97) -> DataFrame | None:
+    """As second_nets, of one table."""
+    net = second_nets({"": (df, columns)}, ratio, sure)
+    return None if net is None else net.drop("table_name")
+
+
+def second_nets(tables: dict[str, tuple[DataFrame, list[str]]], ratio: float = 0.8, sure: float = 0.97) -> DataFrame | None:
+    """Validator hits in columns that weren't masked, with the verdict, for all tables in one job (two with whole-number columns).
 
     One hit of a PROOF validator fails.  DICTIONARY validators need a share `ratio` of the values and three different ones; RATIO
     validators the share, or all of fewer than three values.  Bare digits that look like national ids need the share `sure`, and
     whole-number columns with dense values (sequences) are exempt.
     """
-    kind = {c: df.schema[c].dataType.typeName() for c in columns}
-    numbers = [c for c in columns if kind[c] in ("integer", "long", "short", "decimal")]
-    texts = [c for c in columns if kind[c] in ("string", "varchar", "char", "array")]
-    out = match_counts(df, texts, [*PROOF, *DICTIONARY, *RATIO, "national_digits"]) if texts else None
-    if numbers:
-        counted = match_counts(df, numbers, ["card_shape", "national_digits"])
+    kinds = {(t, c): df.schema[c].dataType.typeName() for t, (df, columns) in tables.items() for c in columns}
+    number = {at for at, k in kinds.items() if k in ("integer", "long", "short", "decimal")}
+    text = {at for at, k in kinds.items() if k in ("string", "varchar", "char", "array")}
+
+    def values(wanted: set) -> DataFrame | None:
+        out = None
+        for t, (df, columns) in tables.items():
+            if own := [c for c in columns if (t, c) in wanted]:
+                one = values_of(df, own).select(F.struct(F.lit(t).alias("t"), "c").alias("c"), "x")
+                out = one if out is None else out.unionByName(one)
+        return out
+
+    out = counts_of(values(text), [*PROOF, *DICTIONARY, *RATIO, "national_digits"]) if text else None
+    if number:
+        counted = counts_of(values(number), ["card_shape", "national_digits"])
         # only for the few columns that look like ids it matters whether they are dense
-        suspects = {r.column_name for r in counted.where((F.col("n_values") >= 3) & (F.col("n_hits") >= sure * F.col("n_values"))).collect()}
-        exempt = [c for c in suspects if density(df, c).first().dense]
-        counted = counted.where(~F.col("column_name").isin(exempt)) if exempt else counted
-        out = counted if out is None else out.unionByName(counted)
+        suspects = {(r.column_name.t, r.column_name.c) for r in counted.where((F.col("n_values") >= 3) & (F.col("n_hits") >= sure * F.col("n_values"))).collect()}
+        for t, c in sorted(suspects):
+            if density(tables[t][0], c).first().dense:
+                counted = counted.where((F.col("column_name.t") != t) | (F.col("column_name.c") != c))
+        counted = counted.withColumn("number", F.lit(True))
+        out = counted if out is None else out.withColumn("number", F.lit(False)).unionByName(counted)
+    elif out is not None:
+        out = out.withColumn("number", F.lit(False))
     if out is None:
         return None
     share = F.col("n_hits") / F.greatest(F.col("n_values"), F.lit(1))
     v = F.col("validator")
     fails = (
-        F.when(v.isin(*PROOF), F.when(F.col("column_name").isin(*numbers), (share >= sure) & (F.col("n_values") >= 3)).otherwise(F.col("n_hits") > 0))
+        F.when(v.isin(*PROOF), F.when(F.col("number"), (share >= sure) & (F.col("n_values") >= 3)).otherwise(F.col("n_hits") > 0))
         .when(v.isin(*DICTIONARY), (share >= ratio) & (F.col("n_distinct") >= 3))
         .when(v == "national_digits", (share >= sure) & (F.col("n_values") >= 3))
         .otherwise((F.col("n_hits") > 0) & ((share >= ratio) & (F.col("n_values") >= 3) | (F.col("n_hits") == F.col("n_values"))))
     )
-    return out.withColumn("fails", fails)
+    names = [F.col("column_name.t").alias("table_name"), F.col("column_name.c").alias("column_name")]
+    return out.withColumn("fails", fails).select(*names, "validator", "n_values", "n_hits", "n_distinct", "fails")
 
 
 def residual(source: DataFrame, target: DataFrame, column: str, canonical) -> DataFrame:

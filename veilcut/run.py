@@ -227,7 +227,7 @@ def check(out: Outcome, frames: dict[str, DataFrame], key: bytes) -> None:
         out.failed.add("fk")
     if verify.row_counts(out.steps, out.tables).where("planned <> loaded").take(1):
         out.failed.add("row_count")
-    plans = column_plans(out.catalog, out.steps, out.decisions)
+    plans, nets = column_plans(out.catalog, out.steps, out.decisions), {}
     for name, df in out.tables.items():
         step, own = out.steps[name], {d.column: d for d in out.decisions if d.table == name and d.masked}
         spec = out.catalog.table(name)
@@ -238,15 +238,15 @@ def check(out: Outcome, frames: dict[str, DataFrame], key: bytes) -> None:
                 out.failed.add("unmasked_identical")
         for d in own.values():
             _check_masked(out, frames, key, name, d, plans[name][d.column])
-        # generated columns are made of what the others hold now
-        open_columns = [c for c in df.columns if c not in own and c not in step.identity and not out.decision(name, c).unmasked and spec.column(c).generated is None] if not spec.framework else []
-        net = verify.second_net(df, open_columns) if open_columns else None
-        if net is not None and (hits := net.where("fails").select("column_name", "validator").collect()):
-            out.failed.add("second_net")
-            out.notes += [f"{name}.{r.column_name}: looks like {r.validator}" for r in hits]
+        if not spec.framework:  # generated columns are made of what the others hold now
+            nets[name] = (df, [c for c in df.columns if c not in own and c not in step.identity and not out.decision(name, c).unmasked and spec.column(c).generated is None])
         if spec.sequences:
             for r in verify.next_values(df, list(spec.sequences)).collect():
                 out.sequences[f"{name}.{r.column_name}"] = r.next_value
+    net = verify.second_nets(nets)
+    if net is not None and (hits := net.where("fails").select("table_name", "column_name", "validator").collect()):
+        out.failed.add("second_net")
+        out.notes += sorted(f"{r.table_name}.{r.column_name}: looks like {r.validator}" for r in hits)
 
 
 def _check_masked(out: Outcome, frames: dict[str, DataFrame], key: bytes, name: str, d: Decision, planned: tuple) -> None:
