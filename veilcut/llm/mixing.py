@@ -11,6 +11,9 @@ refined by the next 12 bits, and so on, so that five small aggregations place it
 unit there is taken if that comes closer to the target.  Thresholds of smaller budgets are nested in those of
 larger ones, as all use one hash.
 
+Documents are taken whole, so a source's words miss its target by at most half of what the boundary hash holds: half a document, as a
+rule.  The table of sources (a row each) is taken by one task; documents never are.
+
 Only built-in expressions run.  Aggregations combine before the shuffle, so a source with a third of all
 rows sends 4,096 sums a task; joins are with tables of one row a source.
 
