@@ -942,3 +942,5 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+_COUNTS = SQL["subset_closure_counts"].replace("rn <= 5", "rn <= 10")
+SQL["flagship"] = f"SELECT *, 0::BIGINT AS n_orphans FROM ({_COUNTS})"
