@@ -26,7 +26,7 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the least id."""
+    """Of every group of near copies (SimHash and anchors, confirmed: five-word shingles, Jaccard 0.8 or more) the document with the least id."""
     return simhash.keep_one(docs.select(*COLUMNS))
 
 

@@ -238,3 +238,33 @@ def test_long_texts_and_clashing_names(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert out[4].n_lines == out[5].n_lines == 20_000 and out[5].n_removed == 20_000 and out[5].text == "" and out[3].root == "clash" and out[1].n_removed + out[2].n_removed == 1
+
+
+def test_near_dedup_stage_goes_by_fingerprints(spark, monkeypatch):
+    """Without the join that follows, near copies whose fingerprints are up to two bits apart are found all the same."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base, f"end{k}"])), (10 * k + 2, " ".join([*base[:150], f"Z{k}", *base[151:]]))]
+    fp = {d: simhash.fingerprint(t, 5) for d, t in rows}
+    near = [(10 * k, 10 * k + i) for k in range(30) for i in (1, 2) if (fp[10 * k] ^ fp[10 * k + i]).bit_count() <= 2]
+    assert len(near) > 30
+    none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "h long, node long, size long, rank long")
+    monkeypatch.setattr(shingle_join, "candidates", lambda *a: none)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept >= {10 * k for k in range(30)} and not kept & {b for _, b in near}
+
+
+def test_close_pairs_meet_at_anchors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(64, 1 + i % 8, replace=False):
+            y[i] ^= np.uint64(1) << np.uint64(b)
+    df = spark.createDataFrame([(int(v),) for v in np.concatenate([x, y]).view(np.int64)], "fp long").repartition(3)
+    got = {tuple(sorted((r.u % 2**64, r.v % 2**64))) for r in simhash.close_pairs(df).collect()}
+    assert all((a ^ b).bit_count() <= simhash.REACH for a, b in got)
+    found = collections.Counter(1 + i % 8 for i in range(400) if tuple(sorted((int(x[i]), int(y[i])))) in got)
+    assert found[1] == found[2] == 50 and min(found[d] for d in range(3, 9)) >= 30  # up to two bits all

@@ -1,6 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered self-join that loses no pair.
+"""Near copies by exact Jaccard similarity of word shingles: leads of fingerprints, then a prefix-filtered self-join that loses no pair.
 
-Texts are sets of 64-bit hashes of `shingle` words in a row (ASCII letters lower-cased).  All hashes have one order.
+The leads, pairs whose fingerprints a caller's search brings together, are confirmed first; the join looks only for
+links between components that they leave apart.  Texts are sets of 64-bit hashes of `shingle` words in a row (ASCII letters lower-cased).  All hashes have one order.
 Two sets whose similarity is s or more share one of the first n - ceil(s * n) + 1 hashes of either, so
 only those prefixes are dealt by hash.  Of the pairs that meet in a hash three bounds, none of which loses a pair,
 leave those worth a look: their sizes; what follows the hash in both (the first hash that two sets share has all
@@ -20,6 +21,7 @@ Defined cases: fewer than `shingle` words are one shingle; null and empty texts
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -106,20 +108,32 @@ def differing(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
-def nodes_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id long, th long, node long, size long, bits binary), one row per row of docs."""
+def nodes_of(docs: DataFrame, sketch: Callable[[bytes], int], shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id long, th long, node long, fp long, size long, bits binary), one row per row of docs; fp is the sketch of the text."""
 
     @frugal
     def run(batches):
         for ids, (th,), data, offsets in doc_chunks(batches, "id", "text", ("th",)):
             doc, h = shingle_sets(data, offsets, shingle)
             node, size = _nodes(doc, h, len(ids))
-            yield pa.record_batch(
-                [pa.array(ids), pa.array(th), pa.array(node.view(np.int64)), pa.array(size), pa.array(bitmaps(doc, h, size), pa.binary())], ["id", "th", "node", "size", "bits"]
-            )
+            fp = np.fromiter((sketch(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), U, len(ids))
+            cols = [ids, th, node.view(np.int64), fp.view(np.int64), size]
+            yield pa.record_batch([*map(pa.array, cols), pa.array(bitmaps(doc, h, size), pa.binary())], ["id", "th", "node", "fp", "size", "bits"])
 
     rows = docs.select(id_key(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, th long, node long, size long, bits binary")
+    return rows.mapInArrow(run, "id long, th long, node long, fp long, size long, bits binary")
+
+
+def leads(rows: DataFrame, met: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (u, v) of nodes with equal fingerprints, the least with each other, and of the least nodes of fingerprints that `met` pairs."""
+    sketches = written(rows.select("node", "fp").distinct(), "near-sketches", small=True)
+    first = written(sketches.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "near-sketch-first", small=True)
+    equal = sketches.join(first.where("n > 1"), "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    pairs = written(met(first.select("fp")), "near-met", small=True)
+    for k in ("u", "v"):
+        pairs = pairs.withColumnRenamed(k, "fp").join(first.select("fp", F.col("least").alias(k)), "fp").drop("fp")
+    both = equal.unionByName(pairs)
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
 def common_hashes(docs: DataFrame, shingle: int, text_col: str) -> np.ndarray:
@@ -310,13 +324,29 @@ def few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
 
 
-def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, root) of every row of docs: root stands for the component of its text; id as of id_key, th a hash of the text."""
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose nodes are in different components."""
+    for k in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")), k, "left")
+    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+def near_groups(
+    docs: DataFrame,
+    sketch: Callable[[bytes], int],
+    met: Callable[[DataFrame], DataFrame],
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(id, th, root) of every row of docs: root stands for the component of its text; id as of id_key, th a hash of the text.
+
+    sketch: the fingerprint of a text; met: pairs (u, v) of a table of distinct fingerprints (fp) that are worth a look.
+    """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
-    rows = written(nodes_of(docs, shingle, id_col, text_col), "near-nodes")
-    pairs, members = candidates(docs, shingle, similarity, text_col)
-    members = written(members, "near-members", small=True)
+    rows = written(nodes_of(docs, sketch, shingle, id_col, text_col), "near-nodes")
 
     def worth(p: DataFrame) -> DataFrame:
         p = written(p, "near-pairs", small=True)
@@ -333,25 +363,25 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         texts = held.join(one, ["id", "th"]).groupBy("node").agg(F.first("text").alias("text"))
         return written(confirmed(p, written(texts, "near-texts", small=True), shingle, similarity), "near-links", small=True)
 
-    def links_of(p: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def links_of(p: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links confirmed so far and those among p, up to such within a component; their components."""
         p = worth(p)
-        if p.limit(1).count():
-            tree = written(p.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-tree", small=True)
-            first = confirm(tree)
-            links = first if links is None else links.unionByName(first)
+        if not p.limit(1).count():
+            return links, roots
+        tree = written(p.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near-tree", small=True)
+        links = links.unionByName(confirm(tree))
+        roots = components(links)
+        apart = written(between(p.join(tree, ["u", "v"], "left_anti"), roots), "near-apart", small=True)
+        if apart.limit(1).count():
+            links = links.unionByName(confirm(apart))
             roots = components(links)
-            apart = p.join(tree, ["u", "v"], "left_anti")
-            for k in ("u", "v"):
-                apart = apart.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root")), k, "left")
-            apart = written(apart.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "near-apart", small=True)
-            if apart.limit(1).count():
-                links = links.unionByName(confirm(apart))
-        elif links is None:
-            links = p
-        return links, components(links)
-
-    links, roots = links_of(pairs, None)
+        return links, roots
+
+    none = docs.sparkSession.createDataFrame
+    links, roots = links_of(leads(rows, met), none([], "u long, v long"), none([], "node long, root long"))
+    pairs, members = candidates(docs, shingle, similarity, text_col)
+    members = written(members, "near-members", small=True)
+    links, roots = links_of(between(pairs, roots), links, roots)
     if members.limit(1).count():
-        links, roots = links_of(open_pairs(members, roots, similarity), links)
+        links, roots = links_of(open_pairs(members, roots, similarity), links, roots)
     return rows.join(roots, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root"))

@@ -13,6 +13,10 @@ in a vectorised way; a group over SMALL is linked by shared one-bit variants (tw
 bits apart share a variant), which is linear in the group.  A partition hands on a spanning forest of
 what it found, never all pairs, and a distributed union-find joins the forests.
 
+`keep_one`, the stage of the pipeline, takes five-word fingerprints and the same anchors, compares what meets there up
+to REACH bits and confirms by exact Jaccard similarity.  Texts 0.8 alike differ in ten bits on average and in any number
+at worst, so no radius finds all of them: an exact join then finds the links between what is still apart.
+
 Defined cases: null or empty text has fingerprint zero and links like any other; fewer than `shingle`
 words are one shingle; a null id takes part but is never a component id unless it stands alone; repeated
 rows each come out; other columns are ignored.
@@ -37,6 +41,8 @@ SHINGLE = 3
 THRESHOLD = 2
 SEED = 42
 SMALL = 48
+#: Bits in which fingerprints that meet at an anchor may differ to be worth an exact check; up to THRESHOLD all meet.
+REACH = 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = 23
 _GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, a generator of the Golay code
@@ -157,17 +163,16 @@ def _variants_link(fp: np.ndarray, passes: int):
     return np.concatenate(u), np.concatenate(v)
 
 
-def link_groups(anchor: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among fingerprints that share an anchor."""
+def _found(anchor: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprints that share an anchor, and pairs of them (places) at most `threshold` bits apart; of a large group those of _variants_link."""
     order = np.lexsort((fp, anchor))
     anchor, fp = anchor[order], fp[order]
     edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     size = np.diff(np.append(edge, len(anchor)))
     many = np.repeat(size > 1, size)
     anchor, fp, size = anchor[many], fp[many], np.repeat(size, size)[many]
-    if not len(fp):
-        return fp, fp
-    us, vs = [], []
+    none = np.zeros(0, np.int64)
+    us, vs = [none], [none]
     few = np.flatnonzero(size <= SMALL)
     a, f = anchor[few], fp[few]
     for k in range(1, SMALL):
@@ -186,18 +191,43 @@ def link_groups(anchor: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD)
             u, v = _variants_link(fp[own], 1 + len(own) // 100_000)
             us.append(own[u])
             vs.append(own[v])
-    if not us:
-        return fp[:0], fp[:0]
+    return fp, np.concatenate(us), np.concatenate(vs)
+
+
+def link_groups(anchor: np.ndarray, fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints that share an anchor."""
+    fp, u, v = _found(anchor, fp, threshold)
     nodes, at = np.unique(fp, return_inverse=True)
-    root = local_components(len(nodes), at[np.concatenate(us)], at[np.concatenate(vs)])
+    root = local_components(len(nodes), at[u], at[v])
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
 
 
+def nearest(anchor: np.ndarray, fp: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the nearest lesser one that shares an anchor, if at most `reach` bits away: linear in a group."""
+    fp, u, v = _found(anchor, fp, reach)
+    low, high = np.minimum(fp[u], fp[v]), np.maximum(fp[u], fp[v])
+    order = np.lexsort((low, np.bitwise_count(low ^ high), high))
+    low, high = low[order], high[order]
+    first = np.ones(len(high), bool)
+    first[1:] = high[1:] != high[:-1]
+    return low[first], high[first]
+
+
 def linked(distinct_fp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(u, v) links that span the components of distinct fingerprints; column fp long."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("threshold must be 0, 1 or 2")
+    return _met(distinct_fp, threshold, lambda anchor, fp: link_groups(anchor, fp, threshold))
+
+
+def close_pairs(distinct_fp: DataFrame, reach: int = REACH) -> DataFrame:
+    """(u, v) distinct fingerprints at most `reach` bits apart that met at an anchor; column fp long."""
+    return _met(distinct_fp, THRESHOLD, lambda anchor, fp: nearest(anchor, fp, reach)).distinct()
+
+
+def _met(distinct_fp: DataFrame, threshold: int, judge) -> DataFrame:
+    """What `judge` says of fingerprints that are replicated to all anchors: (u, v)."""
     parts = shuffle_parts(distinct_fp.sparkSession)
 
     @frugal
@@ -215,7 +245,7 @@ def linked(distinct_fp: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         blobs = [blob for _, blob in blob_rows(batches)]
         if blobs:
             x = gather(blobs, ["ha", "hf"])
-            u, v = link_groups(x["ha"], x["hf"], threshold)
+            u, v = judge(x["ha"], x["hf"])
             yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     dealt = distinct_fp.select("fp").mapInArrow(replicate, BLOB_SCHEMA).repartitionById(parts, "part")
@@ -237,10 +267,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns: of each component of near copies the row with the least id (null last), one row only.
 
-    Near copies share `similarity` of their word shingles.  Fingerprints don't decide here: texts that are 0.8 alike
-    differ in ten bits on average and some in more, so no radius finds all of them; shingle_join does.
+    Near copies share `similarity` of their word shingles.  Fingerprints that meet at anchors lead to them, the exact
+    similarity decides; links that no anchor leads to are found by near_groups among what is still apart.
     """
-    found = written(near_groups(docs, similarity, shingle, id_col, text_col), "op4-groups")
+    found = written(near_groups(docs, lambda raw: fingerprint(raw, shingle), close_pairs, similarity, shingle, id_col, text_col), "op4-groups")
     first = found.groupBy("root").agg(F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "th")).alias("x"))
     first = written(first, "op4-first", small=True)  # so that adaptive execution can split the rows of a large group in the join
     own = found.join(first, "root").groupBy("id", "th").agg(F.count("*").alias("n"), F.max((F.col("x.id") == F.col("id")) & (F.col("x.th") == F.col("th"))).alias("stays"))
